@@ -11,6 +11,7 @@ from . import langid, packing, toxicity, wavelet
 from .common import table
 from .license_scan import scan_licenses
 from .positional_index import contamination
+from .vafile import exact_top_k
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_token_files(wavelet.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_license_scan": op7_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
@@ -56,6 +63,14 @@ _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op6_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+      FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 10""",
     "op9_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '{_WORDS}'), []::VARCHAR[]) AS w FROM documents),
 i AS (SELECT item_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '{_WORDS}'), []::VARCHAR[]) AS w FROM benchmark),
