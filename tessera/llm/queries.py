@@ -12,9 +12,14 @@ from .common import table
 from .license_scan import scan_licenses
 from .minhash import near_duplicates
 from .positional_index import contamination
+from .suffixes import repeated_passages
 from .vafile import exact_top_k
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -55,6 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
