@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Rows in one Arrow batch; long texts make larger batches fill a worker's memory.
 BATCH_ROWS = 512
 
@@ -20,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a batch of long texts stays a few megabytes."""
+    """Sends the package to the executors; small Arrow batches, so that a batch of long texts stays a few megabytes."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
