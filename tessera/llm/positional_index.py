@@ -40,7 +40,7 @@ INDEX = "shard bigint, term bigint, positions binary, docs binary, firsts binary
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Rows of the index: one for each term of a shard (term and positions, uint32), and one for the shard's documents (docs: ids,
+    """The written index: one row for each term of a shard (term and positions, uint32), and one for the shard's documents (docs: ids,
     int64; firsts: each one's first position and the end, uint32)."""
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -52,7 +52,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield _shard_rows(shard, pc.fill_null(block.column("_id"), NO_ID).to_numpy(), w.first, w.hash)
             shard += 1
 
-    return rows.mapInArrow(run, INDEX)
+    return materialise(rows.mapInArrow(run, INDEX), "index")  # shards are numbered by tasks, so they are made once
 
 
 def _shard_rows(shard: int, ids: np.ndarray, first: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
@@ -210,7 +210,7 @@ def index_documents(index: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
     """One row for each of docs: id, n_words, n_hit (words inside an occurrence of a window), n_items (items with occurring windows),
     items (their ids as sorted strings), spans (merged first and last words of hits), contaminated (n_items >= min_items)."""
-    index = materialise(build_index(docs, id_col, text_col), "index")
+    index = build_index(docs, id_col, text_col)
     hits = search_index(index, item_windows(items, window=window))
     per_doc = hits.groupBy("shard", "doc_at").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),

@@ -14,6 +14,8 @@ Defined results: null and empty texts have no match and get the score of such te
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, tune
+from .common import blocks, drop, materialise, tune
 from .langid import held_out
 from .wordscan import Words
 
@@ -45,6 +47,8 @@ CUES = (
     "dit mot terme cita palabra dijo insulto sagte wort zitat begriff beleidigung"
 ).split()
 
+_QUOTED = re.compile(r'"[^"]{1,80}"|“[^”]{1,80}”|«[^»]{1,80}»|„[^“”]{1,80}[“”]')
+
 EXACT, FUZZY = 1, 2
 
 
@@ -194,12 +198,13 @@ def _features(block_text: pa.Array, lexicon: Lexicon) -> np.ndarray:
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """term, stem, n_toxic, n_clean: in how many texts (of `_text`, `toxic`) each word and each prefix of a longer word stands."""
+    """term, stem, n_toxic, n_clean: in how many texts (of `_text`, `toxic`) each word and each prefix of a longer word stands outside
+    of quotation marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, bool], list[int]] = {}
         for block in blocks(batches, "_text"):
-            w = Words(block.column("_text"), hashed=False)
+            w = Words(pa.array([_QUOTED.sub(" ", t) for t in block.column("_text").to_pylist()], pa.string()), hashed=False)
             data = w.data.tobytes()
             for d, toxic in enumerate(block.column("toxic").to_pylist()):
                 seen: set[tuple[str, bool]] = set()
@@ -227,8 +232,16 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     """The lexicon of labelled rows (`_text`, `toxic` 0/1). Stems that another stem begins, and words that a stem begins, are left out."""
-    good = term_counts(rows).where((F.col("n_toxic") >= MIN_TOXIC) & (F.col("n_toxic") >= MIN_PART * (F.col("n_toxic") + F.col("n_clean"))))
+    counts = materialise(term_counts(rows), "terms")
+    n_toxic = rows.where("toxic = 1").count()
+    base = min(max(n_toxic / max(rows.count(), 1), 1e-6), 1 - 1e-6)
+    t, c = F.col("n_toxic"), F.col("n_clean")
+    part = t / (t + c)
+    # the log-likelihood that a term's own share gains over the base share must beat what chance gives among so many terms
+    gain = t * F.log(part / base) + F.when(c > 0, c * F.log((1 - part) / (1 - base))).otherwise(0.0)
+    good = counts.where((t >= MIN_TOXIC) & (part >= MIN_PART) & (gain >= math.log(max(counts.count(), 1)) + 1))
     found = good.orderBy("term").collect()
+    drop(counts)
     whole = {r["term"]: r["n_toxic"] for r in found if not r["stem"]}
     # A prefix is a stem if texts hold several of its forms: more texts than any one longer form has.
     stems: list[str] = []
