@@ -46,12 +46,13 @@ class Field:
         elif isinstance(literal, str):
             test = (self.kind == "string") & (self.text == F.lit(literal))
         else:
-            test = (self.json == F.lit(canonical(literal))) & (self.schema == schema_of(literal))
+            test = (self.json == json_of(literal)) & (self.schema == schema_of(literal))
         return F.coalesce(test, no())
 
 
-def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+def json_of(value: object) -> Column:
+    """A literal's JSON text as it is written for VARIANT values."""
+    return F.to_json(F.parse_json(F.lit(json.dumps(value))))
 
 
 def schema_of(value: object) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import ParseError
-from .fields import KINDS, Field, canonical, no, schema_of
+from .fields import KINDS, Field, json_of, no, schema_of
 
 MAX_DEPTH = 128
 _NUMERIC = ("$gt", "$gte", "$lt", "$lte")
@@ -193,7 +193,7 @@ def _leaf(key: str, op: str, value: object) -> Filter:
 
 
 def _item_is(x: object) -> Callable[[Column], Column]:
-    return lambda i: (i["json"] == F.lit(canonical(x))) & (i["schema"] == schema_of(x))
+    return lambda i: (i["json"] == json_of(x)) & (i["schema"] == schema_of(x))
 
 
 def _any(f: Field, values: list) -> Column:

@@ -215,13 +215,18 @@ class GraphStore:
                 one = found.select(F.col(f"{v.strip('_') or 'node'}_id").alias("id"))
                 ids = one if ids is None else ids.unionByName(one)
             return self._append_rows(log(ids.distinct(), "delete", none("string")))
-        touched = 0
-        for v in dict.fromkeys(p.var for p, _ in m.assign):
+        # a node may be met under several variables: all their assignments are made on it
+        targets = list(dict.fromkeys(p.var for p, _ in m.assign))
+        rows = None
+        for v in targets:
             name = v.strip("_") or "node"
+            one = found.select(F.col(f"{name}_id").alias("id"), F.col(name).alias("payload"), F.lit(v).alias("var"))
+            rows = one if rows is None else rows.unionByName(one)
+        rows = rows.groupBy("id").agg(F.first("payload").alias("payload"), F.collect_set("var").alias("vars"))
+        for v in targets:
             news = {p.key: value for p, value in m.assign if p.var == v}
-            rows = found.select(F.col(f"{name}_id").alias("id"), F.col(name).alias("payload")).dropDuplicates(["id"])
-            touched += self._append_rows(log(rows, "payload", merged(F.col("payload"), news)))
-        return touched
+            rows = rows.withColumn("payload", F.when(F.array_contains("vars", v), merged(F.col("payload"), news)).otherwise(F.col("payload")))
+        return self._append_rows(log(rows, "payload", F.col("payload")))
 
     def _create(self, paths: tuple[Path, ...], known: dict[str, int]) -> int:
         known, n = dict(known), 0
