@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..plans.planner import hops, simple_paths
-from ..plans.storage import cut
+from ..plans.storage import cut, ranked
 from ..session import ship
 
 #: Edges up to which an algorithm may hold the whole adjacency in each task.
@@ -203,8 +203,8 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, iterations: int = 15,
             break
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= min_size)
     # a community's number is how many others begin before it
-    ranked = sizes.rdd.map(lambda r: (r["first"], r["label"])).sortByKey().zipWithIndex().map(lambda x: (x[0][1], x[1] + 1)).toDF("label bigint, community bigint")
-    return labels.join(ranked, "label").select("id", "community")
+    numbered = ranked(sizes, F.col("first"), name="n_before").select("label", (F.col("n_before") + 1).alias("community"))
+    return labels.join(numbered, "label").select("id", "community")
 
 
 def centroids(vectors: DataFrame, communities: DataFrame) -> DataFrame:
