@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -59,6 +62,25 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What clears each cache that a Python worker keeps from task to task.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cache(name: str, clear: Callable[[], None]) -> None:
+    _caches[name] = clear
+
+
+def settle(keep: str = "") -> None:
+    """Called as a task begins in a Python worker: caches of other operators, which ran in this worker before, are given up, and their memory goes
+    back to the system."""
+    for name, clear in _caches.items():
+        if name != keep:
+            clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts and joins batches by rows so that each holds about `limit` bytes of `text`; a longer text stands alone. Nulls become empty."""
     held: list[pa.RecordBatch] = []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, tune
+from .common import blocks, settle, tune
 from .license_scan import joined_words
 from .wordscan import Words, mix64
 
@@ -98,6 +98,7 @@ def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("_text")).where("lang is not null and _text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
 
@@ -152,6 +153,7 @@ def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", tex
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS bytes for each 8 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         model = sent.value
         names = np.array([*model.languages, "und"], object)
         for block in blocks(batches, "_text"):

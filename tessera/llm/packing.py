@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, materialise, tune
+from .common import blocks, materialise, settle, tune
 from .tokens import encoder, tokenizer_path, with_end
 
 LENGTH = 1024
@@ -81,6 +81,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("tokens")
         task, seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for block in blocks(batches, "_text"):
             ids, first = with_end(*encoder(where).encode(block.column("_text")))

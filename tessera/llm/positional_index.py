@@ -21,7 +21,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, tune
+from .common import blocks, materialise, settle, tune
 from .wordscan import Words
 
 #: Words in a window of an item.
@@ -46,6 +46,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         shard = TaskContext.get().partitionId() << 32
         for block in blocks(batches, "_text", shard_bytes):
             w = Words(block.column("_text"))
@@ -78,6 +79,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("_text")).where("item is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for block in blocks(batches, "_text"):
             w = Words(block.column("_text"))
             h = w.hash.view(np.int64)
@@ -196,6 +198,7 @@ def index_documents(index: DataFrame) -> DataFrame:
     rows = index.where("term is null").select("shard", "docs", "firsts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for b in batches:
             for shard, docs, firsts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids = np.frombuffer(docs, np.int64)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, materialise, tune
+from .common import blocks, materialise, settle, tune
 from .words import binary_slices
 from .wordscan import Words, gram_hashes, inside, mix64
 
@@ -57,6 +57,7 @@ def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     width = min_words - k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for block in blocks(batches, "_text"):
             w = Words(block.column("_text"))
             wide = mix64(w.hash.astype(np.uint32).astype(np.uint64))
@@ -97,6 +98,7 @@ def neighbours(rows: DataFrame, partitions: int) -> DataFrame:
     ranged = rows.select(*order).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         part = TaskContext.get().partitionId()
         held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3  # of the last group: its first row, the row before the last run, the last row
         begun = False
@@ -180,6 +182,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs = runs.join(of("a"), "a").select("a", "b", "a_at", "b_at", cut("a_at").alias("a_words"), "b_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             out: list[tuple[int, int, int, int, int]] = []
             cols = [batch.column(c).to_pylist() for c in ("a", "b", "a_at", "b_at", "a_words", "b_words")]
@@ -204,6 +207,7 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
     joined = docs.join(spans, docs[id_col] == spans["_of"], "left").drop("_of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts, spans = batch.column(at), batch.column("_spans")

@@ -14,11 +14,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+from .common import cache
 from .wordscan import BYTE_VALUE, mix64, powers, raw_bytes
 
 END_ID = 0
 #: Distinct pre-tokens that a worker keeps the ids of.
-CACHE_ENTRIES = 2_000_000
+CACHE_ENTRIES = 1_000_000
 
 LETTER, NUMBER, OTHER, SPACE, UNSURE = range(5)
 
@@ -195,6 +196,9 @@ def encoder(path: str) -> BlockEncoder:
     return BlockEncoder(path)
 
 
+cache("tokens", encoder.cache_clear)
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 

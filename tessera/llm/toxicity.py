@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, drop, materialise, tune
+from .common import blocks, cache, drop, materialise, settle, tune
 from .langid import held_out
 from .wordscan import Words
 
@@ -152,22 +152,30 @@ _cache: dict[bytes, int] = {}
 _cache_of: tuple = ()
 
 
+def _clear() -> None:
+    global _cache, _cache_of
+    _cache, _cache_of = {}, ()
+
+
+cache("toxicity", _clear)
+
+
 def _kinds(w: Words, lexicon: Lexicon) -> np.ndarray:
     """The kind of match of each word of a block. Each distinct word is looked up once."""
     import pandas as pd
 
     global _cache, _cache_of
-    if _cache_of != (key := (tuple(lexicon.words), tuple(lexicon.stems))) or len(_cache) > 500_000:
+    if _cache_of != (key := (tuple(lexicon.words), tuple(lexicon.stems))) or len(_cache) > 200_000:
         _cache, _cache_of = {}, key
     codes, uniques = pd.factorize(w.hash)
     first = np.zeros(len(uniques), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
     kinds = np.zeros(len(uniques), np.int8)
-    data, cache, match = w.data.tobytes(), _cache, lexicon.match
+    data, known, match = w.data.tobytes(), _cache, lexicon.match
     for k, (h, a, b) in enumerate(zip(uniques.tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True)):
-        kind = cache.get(h)
+        kind = known.get(h)
         if kind is None:
-            kind = cache[h] = match(data[a:b].decode(errors="replace"))
+            kind = known[h] = match(data[a:b].decode(errors="replace"))
         kinds[k] = kind
     return kinds[codes]
 
@@ -202,6 +210,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
     of quotation marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("toxicity")
         counts: dict[tuple[str, bool], list[int]] = {}
         for block in blocks(batches, "_text"):
             w = Words(pa.array([_QUOTED.sub(" ", t) for t in block.column("_text").to_pylist()], pa.string()), hashed=False)
@@ -239,7 +248,8 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     part = t / (t + c)
     # the log-likelihood that a term's own share gains over the base share must beat what chance gives among so many terms
     gain = t * F.log(part / base) + F.when(c > 0, c * F.log((1 - part) / (1 - base))).otherwise(0.0)
-    good = counts.where((t >= MIN_TOXIC) & (part >= MIN_PART) & (gain >= math.log(max(counts.count(), 1)) + 1))
+    tested = counts.where(t >= MIN_TOXIC)
+    good = tested.where((part >= MIN_PART) & (gain >= math.log(max(tested.count(), 1)) + 2))
     found = good.orderBy("term").collect()
     drop(counts)
     whole = {r["term"]: r["n_toxic"] for r in found if not r["stem"]}
@@ -291,6 +301,7 @@ def featurise(rows: DataFrame, lexicon: Lexicon, keep: list[str], text_col: str
     tune(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("toxicity")
         for block in blocks(batches, text_col):
             f = _features(block.column(text_col), lexicon)
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), *(pa.array(f[:, k]) for k in range(4))], [*keep, *FEATURES])

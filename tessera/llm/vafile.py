@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, tune
+from .common import materialise, settle, tune
 
 BLOCK_VECTORS = 2048
 #: Cells a dimension is cut into.
@@ -46,6 +46,7 @@ def build_file(vectors: DataFrame, id_col: str = "id", vec_col: str = "v") -> Da
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             col, ids = batch.column("v"), batch.column("id").to_numpy(zero_copy_only=False)
@@ -134,6 +135,7 @@ def search_file(file: DataFrame, queries: DataFrame, k: int = 10, pass_queries:
         sent = spark.sparkContext.broadcast({dim: (np.array(a, np.int64), np.array(b, np.int64)) for dim, (a, b) in by_dim.items()})
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            settle()
             tops = {dim: TopK(len(ids), k) for dim, (ids, _) in sent.value.items()}
             for batch in batches:
                 for dim, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, materialise, tune
+from .common import blocks, materialise, settle, tune
 from .positional_index import NO_ID
 from .tokens import encoder, tokenizer_path, with_end
 
@@ -171,6 +171,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.repartitionByRange(n, "_id").sortWithinPartitions("_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("tokens")
         part, file_no = TaskContext.get().partitionId(), 0
         levels = max(1, (encoder(where).tokenizer.get_vocab_size() - 1).bit_length())
         ids: list[np.ndarray] = []
@@ -208,6 +209,7 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool =
     bases = sizes.withColumn("base", F.sum("n_ids").over(inner) - F.col("n_ids")).join(parts, "part").select("part", "file_no", (F.col("base") + F.col("part_base")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("tokens")
         for batch in batches:
             for part, file_no, data in zip(batch.column("part").to_pylist(), batch.column("file_no").to_pylist(), batch.column("file"), strict=True):
                 m, doc_ids, starts = from_file(data.as_py())

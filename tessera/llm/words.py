@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, tune
+from .common import blocks, settle, tune
 from .wordscan import Words
 
 
@@ -25,6 +25,7 @@ def word_arrays(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for block in blocks(batches, "_text"):
             w = Words(block.column("_text"))
             yield pa.RecordBatch.from_arrays([block.column("id"), binary_slices(w.hash.astype(np.uint32), w.first)], ["id", "words"])

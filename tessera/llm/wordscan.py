@@ -11,6 +11,8 @@ import functools
 import numpy as np
 import pyarrow as pa
 
+from .common import cache
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.zeros(256, bool)
@@ -44,6 +46,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return run(_BASE), run(pow(_BASE, -1, 1 << 64))
 
 
+cache("powers", _powers.cache_clear)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << 20
     while size < n:
