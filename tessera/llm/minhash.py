@@ -6,9 +6,9 @@ weighted sampling draws, for each of the sketch's entries, the shingle (and a le
 equal to their weighted Jaccard similarity. Entries are joined to bands; texts with an equal band are candidates.
 
 Texts of equal words form one class at once and only the smallest id goes on. Large bands are not expanded into all pairs: members are
-first compared with the text of the band that shares most bands with others, round by round; links join classes. Only then are the pairs
-of a band that could still join two classes compared, all of them, with one end outside of the band's largest class. So every link
-between candidates of different classes is found.
+first compared with the text of the band that shares most bands with others; links join classes. Then bands that still hold several
+classes are compared in full: small ones pair by pair, larger ones in blocks, two blocks to a task, by matrix products. So every link
+between candidates of different classes is found, and no group is expanded into rows of pairs.
 
 Defined results: a text without words (null, empty) is its own class; repeated rows of an id are in one class; null ids are left out;
 ties go to the smallest id; other columns are not read. An empty table gives no rows.
@@ -16,7 +16,7 @@ ties go to the smallest id; other columns are not read. An empty table gives no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialise, tune
+from .common import drop, materialise, settle, tune
 from .components import components
 from .words import read_words, word_arrays
 from .wordscan import gram_hashes, inside, mix64
@@ -36,13 +36,16 @@ BANDS, ROWS = 12, 4
 #: Entries of the table of document frequencies.
 DF_SLOTS = 1 << 18
 #: Rounds in which a band's members are compared with one text before the rest of pairs is.
-ROUNDS = 2
+ROUNDS = 1
+#: Members up to which a band's pairs are compared one by one, and members in a block of a larger band.
+SMALL, BLOCK = 32, 256
 
 
 def document_frequencies(words: DataFrame, slots: int = DF_SLOTS) -> np.ndarray:
     """In how many texts (of word arrays) a word of each slot stands; slots numbers, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         total = np.zeros(slots, np.int64)
         for batch in batches:
             w, first = read_words(batch.column("words"))
@@ -58,7 +61,9 @@ def document_frequencies(words: DataFrame, slots: int = DF_SLOTS) -> np.ndarray:
 
 
 def idf_table(df: np.ndarray, n_docs: int) -> np.ndarray:
-    return np.log1p(n_docs / (1.0 + df)).astype(np.float32) + np.float32(1e-3)
+    """Smoothed inverse document frequencies, from 1 (in every text) to 2 (in one): a large group of near copies makes its own words frequent, and
+    with a wider range its few edits would outweigh all that the copies share."""
+    return (1 + np.log1p(n_docs / (1.0 + df)) / np.log1p(max(n_docs, 1))).astype(np.float32)
 
 
 def weighted_shingles(w: np.ndarray, first: np.ndarray, idf: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,6 +147,7 @@ def band_rows(words: DataFrame, idf: Broadcast, bands: int = BANDS, rows: int =
     """id, band (number), key for each text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             w, first = read_words(batch.column("words"))
             h, weight, at = weighted_shingles(w, first, idf.value)
@@ -172,6 +178,7 @@ def verify(pairs: DataFrame, words: DataFrame, idf: Broadcast, threshold: float
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_words", "b_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         held = 0
 
@@ -199,7 +206,79 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def candidate_links(bands: DataFrame, words: DataFrame, idf: Broadcast, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+def block_links(members: DataFrame, words: DataFrame, idf: Broadcast, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Links between members (id, band, key, root, n_left) of large bands. A band is dealt into blocks of about `block` members; a task compares the
+    members of two blocks, all with all, by matrix products, and gives the links that join classes: no more than it has members."""
+    n = F.ceil(F.col("n_left") / block).cast("int")
+    dealt = members.withColumn("blk", F.pmod(F.xxhash64("id"), n).cast("int"))
+    meet = F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.least("blk", x).alias("i"), F.greatest("blk", x).alias("j"))))
+    rows = dealt.select("band", "key", "id", "root", "blk", meet.alias("m")).select("band", "key", "m.i", "m.j", "id", "root", "blk")
+    rows = rows.join(words, "id").select("band", "key", "i", "j", "id", "root", "blk", "words")
+    return rows.groupBy("band", "key", "i", "j").applyInArrow(_block_task(idf, threshold), "a bigint, b bigint, similarity double")
+
+
+def _block_task(idf: Broadcast, threshold: float) -> Callable[[pa.Table], pa.Table]:
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, root, blk = (group.column(c).to_numpy() for c in ("id", "root", "blk"))
+        w, first = read_words(group.column("words").chunk(0))
+        links = _forest(ids, root, blk, *weighted_shingles(w, first, idf.value), threshold)
+        cols = list(zip(*links, strict=True)) or [(), (), ()]
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["a", "b", "similarity"])
+
+    return run
+
+
+def _forest(ids: np.ndarray, root: np.ndarray, blk: np.ndarray, h: np.ndarray, weight: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """The links among texts of different blocks (or of one, if there is one) that join different classes, as a forest."""
+    n = len(ids)
+    doc = np.repeat(np.arange(n), np.diff(first))
+    totals = np.bincount(doc, weight, n)
+    # shingles that several texts hold, a row for each in ascending order
+    codes, at, count = np.unique(h, return_inverse=True, return_counts=True)
+    shared = count[at] > 1
+    doc, at, weight = doc[shared], at[shared], weight[shared].astype(np.float64)
+    at = np.unique(at, return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    doc, at, weight = doc[order], at[order], weight[order]
+    low = np.zeros((n, n))
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 2048):
+        x, y = np.searchsorted(at, (lo, lo + 2048))
+        # sum of minima: a matrix product where all texts give a shingle one weight; for others, weights are cut into steps
+        column = at[x:y] - lo
+        dense = np.zeros((n, 2048))
+        dense[doc[x:y], column] = weight[x:y]
+        most = dense.max(axis=0)
+        least = np.where(dense > 0, dense, np.inf).min(axis=0)
+        even = ~(most > least)
+        root_weight = np.sqrt(np.where(even, most, 0))
+        flat = (dense > 0) * root_weight
+        low += flat @ flat.T
+        for c in np.flatnonzero(~even & (most > 0)).tolist():
+            who = np.flatnonzero(dense[:, c])
+            low[np.ix_(who, who)] += np.minimum.outer(dense[who, c], dense[who, c])
+    total = totals[:, None] + totals[None, :] - low
+    close = np.divide(low, total, out=np.zeros_like(low), where=total > 0)
+    a, b = np.nonzero(np.triu(close >= threshold, 1))
+    cross = (blk[a] != blk[b]) | (blk.min() == blk.max())
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(a[cross].tolist(), b[cross].tolist(), strict=True):
+        x, y = find(int(root[i])), find(int(root[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), float(close[i, j])))
+    return out
+
+
+def candidate_links(bands: DataFrame, words: DataFrame, idf: Broadcast, threshold: float = THRESHOLD, rounds: int = ROUNDS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """Links (a, b, similarity) that give the same classes as all candidate pairs of bands (id, band, key) that reach threshold would."""
     keys = ["band", "key"]
     sizes = bands.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
@@ -227,14 +306,19 @@ def candidate_links(bands: DataFrame, words: DataFrame, idf: Broadcast, threshol
             done = taken if done is None else done.unionByName(taken)
             pairs = _pairs(placed.join(lead, keys).where("root <> y_root").select(F.col("id").alias("x"), "y"))
         else:
-            # every pair with one end outside of the band's largest class
-            of = placed.groupBy(*keys, "root").agg(F.count("*").alias("n"))
+            counts = placed.groupBy(*keys).agg(F.count("*").alias("n_left"))
+            placed = materialise(placed.join(counts, keys), "members")
+            # in small bands, every pair with one end outside of the band's largest class
+            few = placed.where(F.col("n_left") <= small)
+            of = few.groupBy(*keys, "root").agg(F.count("*").alias("n"))
             most = of.groupBy(*keys).agg(F.max(F.struct("n", "root")).alias("m")).select(*keys, F.col("m.root").alias("main"))
-            rest = placed.join(most, keys).where("root <> main").select(*keys, F.col("id").alias("x"), F.col("root").alias("x_root"))
-            pairs = _pairs(rest.join(placed.select(*keys, F.col("id").alias("y"), "root"), keys).where("root <> x_root").select("x", "y"))
+            rest = few.join(most, keys).where("root <> main").select(*keys, F.col("id").alias("x"), F.col("root").alias("x_root"))
+            pairs = _pairs(rest.join(few.select(*keys, F.col("id").alias("y"), "root"), keys).where("root <> x_root").select("x", "y"))
+            links = links.unionByName(materialise(block_links(placed.where(F.col("n_left") > small), words, idf, threshold, block), "links"))
         new = materialise(verify(pairs, words, idf, threshold), "links")
         links = new if links is None else links.unionByName(new)
-        roots = components(links)
+        if r < rounds:
+            roots = components(links)
     return links
 
 
