@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -46,20 +48,55 @@ def _remove(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+#: Rows up to which a table of ids goes to all tasks.
+BROADCAST_ROWS = 1_000_000
+
+#: Folders of tables that a stage of a pipeline made, for the next stage to delete.
+_made: list[str] = []
+_in_stage: list[bool] = []
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, written and counted: to be broadcast if it has at most `most` (short) rows, else to be joined by a shuffle."""
+    df = materialise(df, "ids")
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage of a pipeline, whose result is written before the next stage begins: then the tables that it made on the way are deleted."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _made:
+            _delete(spark, _made.pop())
+        _in_stage.append(True)
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _in_stage.pop()
+
+    return run
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    if _in_stage:
+        _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    for top in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
 
 
 #: What clears each cache that a Python worker keeps from task to task.

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, materialise, settle, tune
+from .common import blocks, materialise, settle, small, tune
 from .words import binary_slices
 from .wordscan import Words, gram_hashes, inside, mix64
 
@@ -204,7 +204,7 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
     """docs without the passages listed for them (those of repeated_passages: the copy with the smallest id stays). A text's other words, and
     what stands between them, are kept; columns are those of docs."""
     spans = passages.groupBy(F.col(id_col).alias("_of")).agg(F.sort_array(F.collect_set(F.struct("first_word", "n_words"))).alias("_spans"))
-    joined = docs.join(spans, docs[id_col] == spans["_of"], "left").drop("_of")
+    joined = docs.join(small(spans, 250_000), docs[id_col] == F.col("_of"), "left").drop("_of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
