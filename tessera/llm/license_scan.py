@@ -53,7 +53,7 @@ class Notice:
         cuts = [len(self.text) * i // n for i in range(n + 1)]
         #: (offset, piece)
         self.pieces = [(a, self.text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.pattern = regex.compile(b"(?<![^ ])(?:" + regex.escape(self.text, special_only=True) + b"){i<=%d,d<=%d,s<=%d,e<=%d}(?![^ ])" % ((self.edits,) * 4), regex.BESTMATCH)
+        self.pattern = regex.compile(b"(?<![^ \\n])(?:" + regex.escape(self.text, special_only=True) + b"){i<=%d,d<=%d,s<=%d,e<=%d}(?![^ \\n])" % ((self.edits,) * 4), regex.BESTMATCH)
 
     def occurrences(self, joined: bytes) -> list[tuple[int, int, int]]:
         """(start, end, edits) of every occurrence in texts whose words are joined by one space and which end in a new line."""
@@ -66,7 +66,7 @@ class Notice:
                 hi = min(stop if stop >= 0 else len(joined), at - offset + len(self.text) + slack + 1)
                 if (lo, hi) not in seen:
                     seen.add((lo, hi))
-                    # endpos hides what follows; look-arounds still see what lies before lo.
+                    # endpos hides what follows; look-arounds still see what lies before lo, a new line where another text ends there.
                     if m := self.pattern.search(joined, lo, hi if hi == stop else hi + 1):
                         found[m.start()] = (m.start(), m.end(), sum(m.fuzzy_counts))
                 at = joined.find(piece, at + 1)

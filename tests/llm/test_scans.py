@@ -1,6 +1,7 @@
 import hashlib
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,17 @@ def test_notices_with_edits(spark):
     assert got[3]["labels"] == got[4]["labels"] == got[5]["labels"] == ""
 
 
+def test_notices_at_the_edges_of_texts_that_share_a_block():
+    notices = tuple(sorted(license_scan.NOTICES.items()))
+    texts = ["some words", *(t for t, _ in notices), "", *(f"{t} and more" for t, _ in notices), *(f"more and {t}" for t, _ in notices), "Licenced under the Apache License, Version 2.0", "x all rights", "reserved x"]
+    got = license_scan._scan(pa.array(texts), (), notices)
+    for i, t in enumerate(texts):
+        alone = license_scan._scan(pa.array([t]), (), notices)
+        assert (got["labels"][i], got["score"][i], got["spans"][i]) == (alone["labels"][0], alone["score"][0], alone["spans"][0]), t
+        assert all(label in got["labels"][i].split(",") for x, label in notices if x in t), t
+    assert got["labels"][-3] == "apache-notice" and got["labels"][-2:] == ["", ""]
+
+
 def test_every_edit_within_the_bound_is_found():
     n = license_scan.Notice("under the terms of the gnu general public license", "x")
     for at in range(0, len(n.text), 7):
