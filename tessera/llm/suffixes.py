@@ -1,11 +1,12 @@
 """Suffix-array dedup with a sparse suffix array.
 
 Of the suffixes of all texts, those that begin at minimisers are kept: at the place with the smallest hash among each run of k-grams, a
-choice made by content, so that any passage of MIN_WORDS words holds the same suffix starts wherever it stands. Suffixes are sorted by
-their first k words and then by the next ones (their hashes; the order among different words doesn't matter, only that equal words
-come together), and once more by the words before, across range partitions that may cut through a group of equal suffixes. Each suffix is compared with its neighbour of
-another document and with the first of its group; the last suffix of a partition meets the first of the next. Neighbours on one
-diagonal of two documents make one candidate, whose words are then compared and extended to the left and right as far as they agree.
+choice made by content, so that any passage of MIN_WORDS words holds the same suffix starts wherever it stands. Suffixes are brought together
+by their first k words. Where just two have them, they are compared. Where more have them, as with a frequent line, each window of MIN_WORDS
+words around such a suffix is sorted by its hash, across range partitions that may cut through a group of equal windows, and compared with
+the first of its group, the one in the document with the smallest id; the last window of a partition meets the first of the next. So no
+number of other holders of a line comes between two documents that share more. Pairs on one diagonal of two documents make one candidate,
+whose words are then compared and extended to the left and right as far as they agree.
 
 Defined results: null, empty and short texts have no passage; null ids take no part; repeated rows of an id are one document; passages
 within one document don't count; a stretch that repeats itself with a period of up to 8 words is matched if it begins in the passage;
@@ -50,8 +51,8 @@ def minimisers(h: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
-    """For each text of at least min_words words: id, words (binary, uint32), and its chosen suffixes' key, ext, back (hashes of their
-    first k words, of the next k and of the k before) and pos, as lists."""
+    """For each text of at least min_words words: id, words (binary, uint32), and its chosen suffixes' key (hash of their
+    first k words) and pos, as lists."""
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text")).where("id is not null")
     width = min_words - k + 1
@@ -75,26 +76,22 @@ def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             chosen = minimisers(h, text, width)
             chosen = chosen[fresh[chosen]]
             pos, of = at[chosen], text[chosen]
-            nxt = np.minimum(pos + k, max(len(whole) - 1, 0))
-            more = (pos + k < len(whole)) & ok[nxt] & (pos + 2 * k <= w.first[of + 1])
-            ext = np.where(more, whole[nxt], np.uint64(0))
-            back = np.where(pos - k >= w.first[of], whole[np.maximum(pos - k, 0)], np.uint64(0))
             first = np.searchsorted(of, np.arange(len(w.first)))
             long = np.flatnonzero(np.diff(w.first) >= min_words)
-            lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x)) for x in (h[chosen].view(np.int64), ext.view(np.int64), back.view(np.int64), (pos - w.first[of]).astype(np.int32))]
-            out = pa.RecordBatch.from_arrays([block.column("id"), binary_slices(w.hash.astype(np.uint32), w.first), *lists], ["id", "words", "key", "ext", "back", "pos"])
+            lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x)) for x in (h[chosen].view(np.int64), (pos - w.first[of]).astype(np.int32))]
+            out = pa.RecordBatch.from_arrays([block.column("id"), binary_slices(w.hash.astype(np.uint32), w.first), *lists], ["id", "words", "key", "pos"])
             yield out.take(pa.array(long))
 
-    return rows.mapInArrow(run, "id bigint, words binary, key array<bigint>, ext array<bigint>, back array<bigint>, pos array<int>")
+    return rows.mapInArrow(run, "id bigint, words binary, key array<bigint>, pos array<int>")
 
 
 _LINK = "kind int, part int, key bigint, a bigint, a_pos int, b bigint, b_pos int"
 
 
 def neighbours(rows: DataFrame, partitions: int) -> DataFrame:
-    """Sorts suffixes (key, ext, id, pos). kind 0: a suffix (a, a_pos) and its neighbour or its group's first (b, b_pos), of other documents.
-    kind 1 and 2: the first suffix of each partition, and the last with the nearest before it of another document."""
-    order = ["key", "ext", "id", "pos"]
+    """Sorts windows (key, id, pos). kind 0: a window (a, a_pos) and its group's first (b, b_pos), of another document.
+    kind 1 and 2: the first window of each partition, and the last with the nearest before it of another document."""
+    order = ["key", "id", "pos"]
     ranged = rows.select(*order).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +122,7 @@ def neighbours(rows: DataFrame, partitions: int) -> DataFrame:
             run_at = np.maximum.accumulate(np.where(run_, index, 0))
             group_at = np.maximum.accumulate(np.where(group, index, 0))
             near = np.flatnonzero((run_at > group_at) & (index >= c))
-            before = run_at[near] - 1
-            yield rows_of(0, key[near], ids[near], pos[near], ids[before], pos[before])
             top = group_at[near]
-            far = (top != before) & (ids[top] != ids[near])
-            near, top = near[far], top[far]
             yield rows_of(0, key[near], ids[near], pos[near], ids[top], pos[top])
             last = len(key) - 1
             keep = sorted({int(group_at[last]), int(run_at[last]) - 1 if run_at[last] > group_at[last] else last, last})
@@ -152,19 +145,40 @@ def _across(links: DataFrame) -> DataFrame:
     return met.select("a", "a_pos", "o.b", "o.b_pos").where("a <> b")
 
 
+def windows(texts: DataFrame, min_words: int, k: int) -> DataFrame:
+    """key (hash), id and pos of each window of min_words words that holds a suffix of the list `at`, for texts (id, words, at)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        for batch in batches:
+            for i, words, at in zip(batch.column("id").to_pylist(), batch.column("words").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                h = gram_hashes(mix64(np.frombuffer(words, np.uint32).astype(np.uint64)), min_words)
+                covered = np.zeros(len(h) + 1, np.int64)
+                hi = np.minimum(np.array(at, np.int64), len(h) - 1) + 1
+                np.add.at(covered, np.minimum(np.maximum(np.array(at, np.int64) - (min_words - k), 0), len(h)), 1)
+                np.add.at(covered, hi, -1)
+                pos = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(h[pos].view(np.int64)), pa.array(np.full(len(pos), i, np.int64)), pa.array(pos.astype(np.int32))], ["key", "id", "pos"])
+
+    return texts.mapInArrow(run, "key bigint, id bigint, pos int")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
     """Passages of at least min_words words that stand in two documents: id, first_word, n_words, other_id (smaller), other_first_word. Every
     document that shares a passage with others is tied to one of them; pairs that follow from others are not listed."""
     spark = docs.sparkSession
     texts = materialise(suffixes(docs, id_col, text_col, min_words, k), "suffixes")
-    rows = texts.select("id", F.explode(F.arrays_zip("key", "ext", "back", "pos")).alias("s"))
+    rows = texts.select("id", F.explode(F.arrays_zip("key", "pos")).alias("s")).select("s.key", "id", "s.pos")
+    place = F.struct("id", "pos")
+    keys = materialise(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("x"), F.max(place).alias("y")).where("n > 1 and x.id <> y.id"), "keys")
+    two = keys.where("n = 2").select(F.col("y.id").alias("a"), F.col("y.pos").alias("a_pos"), F.col("x.id").alias("b"), F.col("x.pos").alias("b_pos"))
+    many = rows.join(small(keys.where("n > 2").select("key")), "key", "left_semi")
+    at = small(many.groupBy("id").agg(F.collect_set("pos").alias("at")), 250_000)
+    found = materialise(windows(texts.select("id", "words").join(at, "id"), min_words, k), "windows")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")  # short rows
-    both = None
-    for ext in ("ext", "back"):  # by the words that follow, then by those before
-        order = neighbours(rows.select("s.key", F.col(f"s.{ext}").alias("ext"), "id", "s.pos"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-        links = materialise(order, "links")
-        pairs = links.where("kind = 0").select("a", "a_pos", "b", "b_pos").unionByName(_across(links))
-        both = pairs if both is None else both.unionByName(pairs)
+    links = materialise(neighbours(found, int(spark.conf.get("spark.sql.shuffle.partitions"))), "links")
+    whole = links.where("kind = 0").select("a", "a_pos", "b", "b_pos").unionByName(_across(links))
+    both = two.unionByName(whole)
     tune(spark)
     later = F.col("a") > F.col("b")
     both = both.select(

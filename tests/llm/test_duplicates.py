@@ -113,6 +113,26 @@ def test_passages_against_brute_force(spark):
     assert suffixes.repeated_passages(docs_frame(spark, [])).count() == 0
 
 
+def test_passages_around_a_frequent_line(spark):
+    rng = random.Random(10)
+    lines, fresh = [text(rng, 40) for _ in range(8)], iter(f"u{i}" for i in range(100_000))
+    own = lambda n: " ".join(next(fresh) for _ in range(n))
+    rows, want = [], set()
+    for p in range(40):
+        for before, after in ((5, 5), (2, 8)):
+            passage = f"{own(before)} {lines[p % 8]} {own(after)}"
+            pair = rng.sample(range(10_000 * p + 1000 * before, 10_000 * p + 1000 * before + 999), 2)
+            rows += [(i, f"{own(30)} {passage} {own(30)}") for i in pair]
+            want.add((max(pair), 30, 50, min(pair), 30))
+    rows += [(1_000_000 + i, f"{own(30)} {lines[i % 8]} {own(30)}") for i in range(400)]
+    ids = [i for i, _ in rows]
+    rng.shuffle(ids)  # pairs aren't neighbours by id
+    new = dict(zip([i for i, _ in rows], ids, strict=True))
+    pairs = {(max(new[a], new[b]), x, n, min(new[a], new[b]), y) for a, x, n, b, y in want}
+    got = suffixes.repeated_passages(docs_frame(spark, [(new[i], t) for i, t in rows])).collect()
+    assert {(r["doc_id"], r["first_word"], r["n_words"], r["other_doc_id"], r["other_first_word"]) for r in got} == pairs
+
+
 def test_removal_keeps_all_else(spark):
     rng = random.Random(9)
     passage = text(rng, 70)
