@@ -5,21 +5,24 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import functools
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 
 #: Rows in one Arrow batch; long texts make larger batches fill a worker's memory.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,75 +33,104 @@ def tune(spark: SparkSession) -> None:
     """Sends the package to the executors; small Arrow batches, so that a batch of long texts stays a few megabytes."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Other Arrow batches for what is written inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors all see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """A folder that driver and executors all see: spark.checkpoint.dir. Where that is unset, a temporary one in local mode (tests); on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(_remove, base.removeprefix("file://"))
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
     return base.rstrip("/")
 
 
-def _remove(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
-#: Rows up to which a table of ids goes to all tasks.
-BROADCAST_ROWS = 1_000_000
-
-#: Folders of tables that a stage of a pipeline made, for the next stage to delete.
-_made: list[str] = []
-_in_stage: list[bool] = []
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, written and counted: to be broadcast if it has at most `most` (short) rows, else to be joined by a shuffle."""
-    df = materialise(df, "ids")
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage of a pipeline, whose result is written before the next stage begins: then the tables that it made on the way are deleted."""
+#: Tables that each open scratch() made: their folders.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+#: The catalog's name of tables that have one, by folder.
+_names: dict[str, str] = {}
 
-    @functools.wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _made:
-            _delete(spark, _made.pop())
-        _in_stage.append(True)
-        try:
-            return f(spark, docs, sf_dir)
-        finally:
-            _in_stage.pop()
 
-    return run
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those written with keep: a result may depend on these alone."""
+    made: list[str] = []
+    token = _scratch.set((*_scratch.get(), made))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for folder in made:
+            _delete(spark, folder)
+        gc.collect()
+        spark._jvm.System.gc()  # plans that are gone give up their shuffle files
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
+    if folder in _names:
+        spark.sql(f"DROP TABLE IF EXISTS {_names.pop(folder)}")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def _folder(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    path = f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
+    open_ = _scratch.get()
+    if open_:
+        # what a step keeps goes with the scratch around it
+        if not keep:
+            open_[-1].append(path)
+        elif len(open_) > 1:
+            open_[-2].append(path)
+    return path
+
+
+def materialise(df: DataFrame, tag: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
+    path = _folder(spark, tag, keep)
     df.write.option("compression", codec).parquet(path)
-    if _in_stage:
-        _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, column: str, codec: str = "zstd") -> DataFrame:
+    """Like materialise, dealt by a column, so that joins on it don't shuffle the table again. df is partitioned by that column already."""
+    spark = df.sparkSession
+    path, name = _folder(spark, tag), f"tessera_{tag}_{uuid.uuid4().hex}"
+    _names[path] = name
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", codec).option("path", path).bucketBy(n, column).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing reads any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         _delete(df.sparkSession, folder)
 
 
+def long_id(docs: DataFrame, col: str) -> Column:
+    """An id column as bigint. Ids of operators that compare rows are whole numbers; others raise an error at once instead of becoming null."""
+    if not isinstance(docs.schema[col].dataType, T.IntegralType):
+        raise TypeError(f"{col} holds {docs.schema[col].dataType.simpleString()}, not whole numbers")
+    return F.col(col).cast("long")
+
+
 #: What clears each cache that a Python worker keeps from task to task.
 _caches: dict[str, Callable[[], None]] = {}
 

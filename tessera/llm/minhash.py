@@ -1,95 +1,166 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-A shingle is five consecutive words (a text of fewer words is one shingle); its weight is its count in the text times the mean inverse
-document frequency of its words. Document frequencies of all words are kept in a table of fixed size by the words' hashes. Consistent
-weighted sampling draws, for each of the sketch's entries, the shingle (and a level of its weight) that two texts share with a chance
-equal to their weighted Jaccard similarity. Entries are joined to bands; texts with an equal band are candidates.
-
-Texts of equal words form one class at once and only the smallest id goes on. Large bands are not expanded into all pairs: members are
-first compared with the text of the band that shares most bands with others; links join classes. Then bands that still hold several
-classes are compared in full: small ones pair by pair, larger ones in blocks, two blocks to a task, by matrix products. So every link
-between candidates of different classes is found, and no group is expanded into rows of pairs.
-
-Defined results: a text without words (null, empty) is its own class; repeated rows of an id are in one class; null ids are left out;
-ties go to the smallest id; other columns are not read. An empty table gives no rows.
+A shingle is five consecutive words (a text of fewer words is one shingle); its weight is its count in the text times its inverse document
+frequency, 1 + log10(texts / texts that hold it). Shingles that stand in less than COMMON of all texts have the weight of one that stands in
+COMMON of them, so only the others need a table, and these are at most (shingles of a mean text) / COMMON, whatever the corpus. They are found
+exactly: counts by slots of the shingles' hashes, which are never too low, leave few shingles to count one by one. Consistent weighted
+sampling draws, for each of the sketch's entries, the shingle (and a level of its weight) that two texts share with a chance equal to
+their weighted Jaccard similarity. Entries are joined to bands; texts with an equal band are candidates.
+
+Texts of equal words form one class at once and only the smallest id goes on. Large bands are not expanded into all pairs. Members are
+range-sorted by band, those first that share bands with most others; a partition may cut through a band, and within it each run of CHUNK
+members is compared with its first, and that one with the first of the run before. Links join classes. In bands that still hold several
+classes, all members outside of the band's largest class are compared with all members, block by block, each pair in the first band that it
+shares. So every link between candidates of different classes is found, no group is expanded into rows of pairs, and no task gets a band.
+
+Words move three times: by id to their table, which is dealt by id so that later joins leave it in place, and once for each candidate pair
+or block. Ids are whole numbers. Defined results: a text without words (null, empty) is its own class; repeated rows of an id are in one class,
+each with a row; of an id with several texts one is compared (that with the smallest MD5), and copies of all of them join its class; rows
+without an id are left out; ties go to the smallest id; other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import drop, materialise, settle, tune
+from .common import batch_rows, blocks, bucketed, long_id, materialise, scratch, settle, tune
 from .components import components
-from .words import read_words, word_arrays
-from .wordscan import gram_hashes, inside, mix64
+from .words import binary_slices, read_words
+from .wordscan import Words, gram_hashes, inside, mix64
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Bands and entries in a band: at a similarity of 0.8 a pair shares a band with a chance of 0.998.
 BANDS, ROWS = 12, 4
-#: Entries of the table of document frequencies.
-DF_SLOTS = 1 << 18
-#: Rounds in which a band's members are compared with one text before the rest of pairs is.
-ROUNDS = 1
-#: Members up to which a band's pairs are compared one by one, and members in a block of a larger band.
-SMALL, BLOCK = 32, 256
-
-
-def document_frequencies(words: DataFrame, slots: int = DF_SLOTS) -> np.ndarray:
-    """In how many texts (of word arrays) a word of each slot stands; slots numbers, whatever the corpus."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
-        total = np.zeros(slots, np.int64)
-        for batch in batches:
-            w, first = read_words(batch.column("words"))
-            slot = (w & np.uint32(slots - 1)).astype(np.int64) + np.repeat(np.arange(len(first) - 1) * slots, np.diff(first))
-            total += np.bincount(np.unique(slot) % slots, minlength=slots)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["slot", "n"])
-
-    rows = words.select("words").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(slots, np.int64)
-    out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return out
-
-
-def idf_table(df: np.ndarray, n_docs: int) -> np.ndarray:
-    """Smoothed inverse document frequencies, from 1 (in every text) to 2 (in one): a large group of near copies makes its own words frequent, and
-    with a wider range its few edits would outweigh all that the copies share."""
-    return (1 + np.log1p(n_docs / (1.0 + df)) / np.log1p(max(n_docs, 1))).astype(np.float32)
-
-
-def weighted_shingles(w: np.ndarray, first: np.ndarray, idf: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of each of some texts, in order of text and hash: hashes (uint64), weights (float32), and where each text's begin."""
+#: Shingles in less than this part of all texts weigh as much as those in this part.
+COMMON = 0.01
+#: Slots by which shingles are counted to find the common ones. More only leave fewer shingles to count one by one.
+SLOTS = 1 << 18
+#: Members of a band that are compared with one of them.
+CHUNK = 4096
+#: Weight of a block of members; a text weighs 1 and one more for each 1,024 words.
+BLOCK = 256
+#: Tasks over which a key that many rows share is dealt in joins.
+SALTS = 32
+#: Pairs whose sketches agree in less than this part of their entries are not compared in blocks: at a similarity of 0.8 one of 2,000 does.
+AGREE = 0.6
+
+Idf = tuple[np.ndarray, np.ndarray, float]  # common shingles in ascending order, their values, the value of others
+
+
+def _shingle_places(w: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of some texts: hashes (uint64) and the text of each, ascending."""
     n = np.diff(first)
-    value = idf[(w & np.uint32(len(idf) - 1)).astype(np.int64)]
     wide = mix64(w.astype(np.uint64) + np.uint64(1))
-    total = np.concatenate([[0], np.cumsum(value, dtype=np.float64)])
     h, ok = gram_hashes(wide, k), inside(first, k, len(w))
     at = np.flatnonzero(ok)
-    hashes = [h[at]]
-    weights = [(total[at + k] - total[at]) / k]
-    doc = [np.searchsorted(first, at, side="right") - 1]
+    hashes, doc = [h[at]], [np.searchsorted(first, at, side="right") - 1]
     for d in np.flatnonzero((n > 0) & (n < k)).tolist():
         a, b = int(first[d]), int(first[d + 1])
         hashes.append(gram_hashes(wide[a:b], b - a))
-        weights.append(np.array([(total[b] - total[a]) / (b - a)]))
         doc.append(np.array([d]))
-    hashes, weights, doc = map(np.concatenate, (hashes, weights, doc))
+    hashes, doc = np.concatenate(hashes), np.concatenate(doc)
+    if len(doc) > len(at):
+        order = np.argsort(doc, kind="stable")
+        hashes, doc = hashes[order], doc[order]
+    return hashes, doc
+
+
+def idf_of(hashes: np.ndarray, idf: Idf) -> np.ndarray:
+    known, value, other = idf
+    out = np.full(len(hashes), other, np.float32)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hit = known[at] == hashes
+        out[hit] = value[at[hit]]
+    return out
+
+
+def weighted_shingles(w: np.ndarray, first: np.ndarray, idf: Idf, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each of some texts, in order of text and hash: hashes (uint64), weights (float32), and where each text's begin."""
+    hashes, doc = _shingle_places(w, first, k)
     order = np.lexsort((hashes, doc))
-    hashes, weights, doc = hashes[order], weights[order], doc[order]
+    hashes, doc = hashes[order], doc[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     tf = np.diff(np.append(at, len(hashes)))
-    return hashes[at], (weights[at] * tf).astype(np.float32), np.searchsorted(doc[at], np.arange(len(first)))
+    return hashes[at], (idf_of(hashes[at], idf) * tf).astype(np.float32), np.searchsorted(doc[at], np.arange(len(first)))
+
+
+def _block_words(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    w = Words(block.column("_text"))
+    return w.hash.astype(np.uint32), w.first
+
+
+def text_keys(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """For rows (id, _text) one row each: id, text_key (MD5 of the words, null if there are none); and for each task one row `counts`: in how many of
+    its texts the shingles of each slot stand (uint32)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        total = np.zeros(slots, np.uint32)
+        for block in blocks(batches, "_text"):
+            w, first = _block_words(block)
+            raw = memoryview(w.tobytes())
+            at = (first * 4).tolist()
+            keys = [hashlib.md5(raw[a:b]).digest() if b > a else None for a, b in zip(at, at[1:], strict=False)]
+            h, doc = _shingle_places(w, first, SHINGLE)
+            once = np.sort((h & np.uint64(slots - 1)).astype(np.int64) + doc * slots)
+            once = once[np.flatnonzero(np.diff(once, prepend=-1))]
+            total += np.bincount(once & (slots - 1), minlength=slots).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(keys, pa.binary()), pa.nulls(len(keys), pa.binary())], ["id", "text_key", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())], ["id", "text_key", "counts"])
+
+    return rows.mapInArrow(run, "id bigint, text_key binary, counts binary")
+
+
+def common_shingles(rows: DataFrame, keys: DataFrame, common: float = COMMON, slots: int = SLOTS) -> Idf:
+    """The inverse document frequencies, over all rows."""
+    n = keys.where("counts is null").count()
+    least = max(1.0, common * n)
+    other = float(1 + np.log10(n / least)) if n else 1.0
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for counts in batch.column("counts").to_pylist():
+                c = np.frombuffer(counts, np.uint32)
+                there = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(c[there].astype(np.int64))], ["slot", "n"])
+
+    full = keys.where("counts is not null").select("counts").mapInArrow(unpack, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    heavy = np.zeros(slots, bool)
+    heavy[full.where((F.col("n") > 1) & (F.col("n") >= least)).toPandas()["slot"].to_numpy(dtype=np.int64)] = True  # at most `slots` rows
+    if not heavy.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.float32), other
+    sent = rows.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        for block in blocks(batches, "_text"):
+            h, doc = _shingle_places(*_block_words(block), SHINGLE)
+            some = sent.value[(h & np.uint64(slots - 1)).astype(np.int64)]
+            h, doc = h[some], doc[some]
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            values, times = np.unique(h[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], ["shingle", "n"])
+
+    # at most (shingles of a mean text) / common rows
+    found = rows.select("_text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > least).toPandas()
+    h = found["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], (1 + np.log10(n / found["n"].to_numpy(dtype=np.float64)[order])).astype(np.float32), other
 
 
 def _gamma2_quantiles(bits: int) -> np.ndarray:
@@ -143,23 +214,151 @@ def sketch(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray, entries:
     return out
 
 
-def band_rows(words: DataFrame, idf: Broadcast, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, band (number), key for each text with words."""
+def band_keys(samples: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """uint64 keys of the bands of sketches (uint32), with the band's number in them."""
+    wide = samples.astype(np.uint64)
+    key = wide[:, ::rows] + (np.arange(wide.shape[1] // rows, dtype=np.uint64) << np.uint64(32))
+    for j in range(1, rows):
+        key = mix64(key * np.uint64(31) + wide[:, j::rows])
+    return key
+
+
+def sketches(rows: DataFrame, idf: Broadcast, entries: int = BANDS * ROWS) -> DataFrame:
+    """id, text_key, n_words and sketch (binary, uint32) for rows (id, _text) with words. A task gives a repeated row once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
-        for batch in batches:
-            w, first = read_words(batch.column("words"))
+        seen: set[tuple[int, bytes]] = set()  # of one task's rows
+        for block in blocks(batches, "_text"):
+            w, first = _block_words(block)
+            ids, keys, fresh = _fresh(block, w, first, seen)
+            w, first = _take(w, first, fresh)
             h, weight, at = weighted_shingles(w, first, idf.value)
-            samples = sketch(h, weight, at, bands * rows)
-            key = samples[:, ::rows].copy()
-            for j in range(1, rows):
-                key = mix64(key * np.uint64(31) + samples[:, j::rows])
-            there = np.flatnonzero(np.diff(at) > 0)
-            ids = batch.column("id").to_numpy()[there]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(ids))), pa.array(key[there].ravel().view(np.int64))], ["id", "band", "key"])
+            samples = sketch(h, weight, at, entries).astype(np.uint32)
+            data = binary_slices(samples.ravel(), np.arange(len(fresh) + 1) * entries)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys, pa.binary()), pa.array(np.diff(first)), data], ["id", "text_key", "n_words", "sketch"])
+
+    return rows.mapInArrow(run, "id bigint, text_key binary, n_words bigint, sketch binary")
+
+
+def _fresh(block: pa.RecordBatch, w: np.ndarray, first: np.ndarray, seen: set) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The rows of a block that have words and were not seen before: ids, MD5s, places."""
+    raw, at = memoryview(w.tobytes()), (first * 4).tolist()
+    ids = block.column("id").to_numpy()
+    keys, fresh = [], []
+    for k, i in enumerate(ids.tolist()):
+        if at[k + 1] > at[k]:
+            pair = (i, hashlib.md5(raw[at[k] : at[k + 1]]).digest())
+            if pair not in seen:
+                seen.add(pair)
+                keys.append(pair[1])
+                fresh.append(k)
+    at = np.array(fresh, np.int64)
+    return ids[at], keys, at
+
+
+def _take(w: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(first)
+    if len(rows) == len(n):
+        return w, first
+    keep = np.zeros(len(n), bool)
+    keep[rows] = True
+    return w[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[rows])]).astype(np.int64)
+
 
-    return words.mapInArrow(run, "id bigint, band int, key bigint")
+def word_table(rows: DataFrame) -> DataFrame:
+    """id, text_key, words (binary, uint32) for rows (id, _text) with words. A task gives a repeated row once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        seen: set[tuple[int, bytes]] = set()
+        for block in blocks(batches, "_text"):
+            w, first = _block_words(block)
+            ids, keys, fresh = _fresh(block, w, first, seen)
+            w, first = _take(w, first, fresh)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys, pa.binary()), binary_slices(w, first)], ["id", "text_key", "words"])
+
+    return rows.mapInArrow(run, "id bigint, text_key binary, words binary")
+
+
+def band_members(nodes: DataFrame) -> DataFrame:
+    """key, id, n for texts (id, sketch) that share a band; n: about how many do. A few others come along where a batch or partition ends."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, _ = read_words(batch.column("sketch"))
+            key = band_keys(w.reshape(batch.num_rows, -1))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), key.shape[1]))], ["key", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            cut = np.flatnonzero(np.diff(key)) + 1
+            sizes = np.diff(np.concatenate([[0], cut, [len(key)]]))
+            n = np.repeat(sizes, sizes)
+            keep = n > 1
+            keep[0] = keep[-1] = True
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), batch.column("id").filter(pa.array(keep)), pa.array(n[keep])], ["key", "id", "n"])
+
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # written once, as sorting by ranges reads its input twice
+    rows = materialise(nodes.select("id", "sketch").mapInArrow(keys, "key bigint, id bigint"), "bands")
+    with batch_rows(spark, 65_536):
+        return materialise(rows.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id").mapInArrow(run, "key bigint, id bigint, n bigint"), "members")
+
+
+def star_pairs(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) that tie the members of each band: b comes first among chunk members, in order of how many texts they share bands with."""
+    spark = members.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hubs = members.groupBy("id").agg(F.sum("n").alias("hub"))
+    rows = materialise(members.select("key", "id").join(hubs, "id").select("key", (-F.col("hub")).alias("order"), "id"), "ordered")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        begun, at_key, seen, lead = False, 0, 0, 0
+
+        def out(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(key), pa.array(a), pa.array(b)], ["kind", "part", "key", "a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+            if not begun:
+                begun = True
+                at_key = int(key[0])
+                yield out(1, key[:1], ids[:1], ids[:1])
+            index = np.arange(len(key))
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            new[0] = int(key[0]) != at_key
+            start = np.maximum.accumulate(np.where(new, index, -1))
+            place = np.where(start < 0, index + seen, index - start)  # in the band
+            leads = place % chunk == 0
+            lead_at = np.maximum.accumulate(np.where(leads, index, -1))
+            of = np.where(lead_at < 0, lead, ids[lead_at])
+            # a lead is tied to the one before it in its band
+            before = np.where(index > 0, of[index - 1], lead)
+            b = np.where(leads, np.where(place > 0, before, ids), of)
+            tied = b != ids
+            yield out(0, key[tied], ids[tied], b[tied])
+            at_key, seen, lead = int(key[-1]), int(place[-1]) + 1, int(of[-1])
+        if begun:
+            last = np.array([lead])
+            yield out(2, np.array([at_key]), last, last)
+
+    with batch_rows(spark, 65_536):
+        order = ("key", "order", "id")
+        ties = materialise(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "id").mapInArrow(run, "kind int, part int, key bigint, a bigint, b bigint"), "ties")
+    # bands that go on in the next partition: two rows a partition
+    ends = ties.where("kind > 0").groupBy("part").agg(*(F.max(F.when(F.col("kind") == kind, F.struct("key", "a"))).alias(name) for kind, name in ((1, "head"), (2, "tail"))))
+    met = ends.select("head", F.lag("tail").over(Window.orderBy("part")).alias("tail")).where("head.key = tail.key").select(F.col("head.a").alias("a"), F.col("tail.a").alias("b"))
+    return ties.where("kind = 0").select("a", "b").unionByName(met).where("a <> b").distinct()
 
 
 def _similarity(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
@@ -172,95 +371,101 @@ def _similarity(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.
     return low / total if total > 0 else 0.0
 
 
-def verify(pairs: DataFrame, words: DataFrame, idf: Broadcast, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches threshold, with it."""
-    of = lambda x: words.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_words", "b_words")
+class _Shingles:
+    """The weighted shingles of texts, made when they are asked for; about `most` are held."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settle()
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        held = 0
-
-        def shingles(i: int, data: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
-            nonlocal held
-            if i not in known:
-                if held > 4_000_000:
-                    known.clear()
-                    held = 0
-                w = np.frombuffer(data.as_py(), np.uint32)
-                known[i] = weighted_shingles(w, np.array([0, len(w)]), idf.value)[:2]
-                held += len(known[i][0])
-            return known[i]
+    def __init__(self, idf: Idf, most: int = 4_000_000) -> None:
+        self.idf, self.most, self.held = idf, most, 0
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def get(self, i: int, words: bytes) -> tuple[np.ndarray, np.ndarray]:
+        found = self.known.get(i)
+        if found is None:
+            if self.held > self.most:
+                self.known.clear()
+                self.held = 0
+            w = np.frombuffer(words, np.uint32)
+            found = self.known[i] = weighted_shingles(w, np.array([0, len(w)]), self.idf)[:2]
+            self.held += len(found[0])
+        return found
 
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            s = [_similarity(shingles(x, p), shingles(y, q)) for x, y, p, q in zip(a, b, batch.column("a_words"), batch.column("b_words"), strict=True)]
-            ok = np.array(s, float) >= threshold
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[ok]), pa.array(np.array(b, np.int64)[ok]), pa.array(np.array(s, float)[ok])], ["a", "b", "similarity"])
 
-    return both.mapInArrow(run, "a bigint, b bigint, similarity double")
+_LINKS = "a bigint, b bigint, similarity double"
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _links(rows: list[tuple[int, int, float]]) -> list[pa.Array]:
+    cols = list(zip(*rows, strict=True)) or [(), (), ()]
+    return [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())]
 
 
-def block_links(members: DataFrame, words: DataFrame, idf: Broadcast, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Links between members (id, band, key, root, n_left) of large bands. A band is dealt into blocks of about `block` members; a task compares the
-    members of two blocks, all with all, by matrix products, and gives the links that join classes: no more than it has members."""
-    n = F.ceil(F.col("n_left") / block).cast("int")
-    dealt = members.withColumn("blk", F.pmod(F.xxhash64("id"), n).cast("int"))
-    meet = F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.least("blk", x).alias("i"), F.greatest("blk", x).alias("j"))))
-    rows = dealt.select("band", "key", "id", "root", "blk", meet.alias("m")).select("band", "key", "m.i", "m.j", "id", "root", "blk")
-    rows = rows.join(words, "id").select("band", "key", "i", "j", "id", "root", "blk", "words")
-    return rows.groupBy("band", "key", "i", "j").applyInArrow(_block_task(idf, threshold), "a bigint, b bigint, similarity double")
+def verify(pairs: DataFrame, words: DataFrame, idf: Broadcast, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity reaches threshold, with it. words: id, words, dealt by id."""
+    of = lambda x: words.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_words", "b_words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        known = _Shingles(idf.value)
+        for batch in batches:
+            found = []
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("a_words"), batch.column("b_words"), strict=True):
+                s = _similarity(known.get(a, x.as_py()), known.get(b, y.as_py()))
+                if s >= threshold:
+                    found.append((min(a, b), max(a, b), s))
+            yield pa.RecordBatch.from_arrays(_links(found), ["a", "b", "similarity"])
+
+    return both.mapInArrow(run, _LINKS)
+
+
+def split_bands(members: DataFrame, roots: DataFrame, weights: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Members (key, id, root) with their classes, and the bands that hold several: key, main (the largest class), n_all and n_rest: blocks that all
+    members and those of other classes are dealt into. weights: id, weight."""
+    placed = members.select("key", "id").distinct().join(roots, "id", "left").join(weights, "id").select("key", "id", F.coalesce("root", "id").alias("root"), "weight")
+    placed = materialise(placed, "placed")
+    per = placed.groupBy("key", "root").agg(F.sum("weight").alias("weight"))
+    found = per.groupBy("key").agg(F.count("*").alias("classes"), F.sum("weight").alias("all"), F.max(F.struct("weight", (-F.col("root")).alias("root"))).alias("main")).where("classes > 1")
+    blocks_of = lambda x: F.ceil(x / F.lit(block)).cast("int")
+    return placed, found.select("key", (-F.col("main.root")).alias("main"), blocks_of(F.col("all")).alias("n_all"), blocks_of(F.col("all") - F.col("main.weight")).alias("n_rest"))
+
+
+def block_links(placed: DataFrame, split: DataFrame, words: DataFrame, idf: Broadcast, threshold: float = THRESHOLD) -> DataFrame:
+    """Links that join classes, between members outside of a band's largest class and all members. Task (i, j) of a band compares block i of the former with
+    block j of all, and gives no more links than it has members. words: id, words, sketch, dealt by id."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    dealt = split.select("*", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    here = placed.withColumn("salt", salt).join(dealt, ["key", "salt"])
+    at = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rest = here.where("root <> main").select("key", "id", "root", at(F.col("n_rest")).alias("i"), to(F.col("n_all")).alias("j"), F.lit(True).alias("rest"))
+    every = here.select("key", "id", "root", to(F.col("n_rest")).alias("i"), at(F.col("n_all")).alias("j"), F.lit(False).alias("rest"))
+    rows = rest.unionByName(every).join(words.select("id", "words", "sketch"), "id")
+    return rows.groupBy("key", "i", "j").applyInArrow(_block_task(idf, threshold), _LINKS)
 
 
 def _block_task(idf: Broadcast, threshold: float) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, root, blk = (group.column(c).to_numpy() for c in ("id", "root", "blk"))
-        w, first = read_words(group.column("words").chunk(0))
-        links = _forest(ids, root, blk, *weighted_shingles(w, first, idf.value), threshold)
-        cols = list(zip(*links, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["a", "b", "similarity"])
+        ids, root, rest = (group.column(c).to_numpy() for c in ("id", "root", "rest"))
+        samples = read_words(group.column("sketch").chunk(0))[0].reshape(len(ids), -1)
+        links = _forest(group.column("key")[0].as_py(), ids, root, rest, samples, group.column("words").chunk(0), idf.value, threshold)
+        return pa.table(_links(links), names=["a", "b", "similarity"])
 
     return run
 
 
-def _forest(ids: np.ndarray, root: np.ndarray, blk: np.ndarray, h: np.ndarray, weight: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """The links among texts of different blocks (or of one, if there is one) that join different classes, as a forest."""
-    n = len(ids)
-    doc = np.repeat(np.arange(n), np.diff(first))
-    totals = np.bincount(doc, weight, n)
-    # shingles that several texts hold, a row for each in ascending order
-    codes, at, count = np.unique(h, return_inverse=True, return_counts=True)
-    shared = count[at] > 1
-    doc, at, weight = doc[shared], at[shared], weight[shared].astype(np.float64)
-    at = np.unique(at, return_inverse=True)[1]
-    order = np.argsort(at, kind="stable")
-    doc, at, weight = doc[order], at[order], weight[order]
-    low = np.zeros((n, n))
-    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 2048):
-        x, y = np.searchsorted(at, (lo, lo + 2048))
-        # sum of minima: a matrix product where all texts give a shingle one weight; for others, weights are cut into steps
-        column = at[x:y] - lo
-        dense = np.zeros((n, 2048))
-        dense[doc[x:y], column] = weight[x:y]
-        most = dense.max(axis=0)
-        least = np.where(dense > 0, dense, np.inf).min(axis=0)
-        even = ~(most > least)
-        root_weight = np.sqrt(np.where(even, most, 0))
-        flat = (dense > 0) * root_weight
-        low += flat @ flat.T
-        for c in np.flatnonzero(~even & (most > 0)).tolist():
-            who = np.flatnonzero(dense[:, c])
-            low[np.ix_(who, who)] += np.minimum.outer(dense[who, c], dense[who, c])
-    total = totals[:, None] + totals[None, :] - low
-    close = np.divide(low, total, out=np.zeros_like(low), where=total > 0)
-    a, b = np.nonzero(np.triu(close >= threshold, 1))
-    cross = (blk[a] != blk[b]) | (blk.min() == blk.max())
+def _forest(band: int, ids: np.ndarray, root: np.ndarray, rest: np.ndarray, samples: np.ndarray, words: pa.Array, idf: Idf, threshold: float) -> list[tuple[int, int, float]]:
+    """The links among `rest` and the other rows that join different classes, as a forest. A pair is looked at in the first band that it shares."""
+    keys = band_keys(samples)
+    number = int(np.flatnonzero(keys[0].view(np.int64) == band)[0])
+    one, other = np.flatnonzero(rest), np.flatnonzero(~rest)
+    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for x in one.tolist():
+        agree = (samples[other] == samples[x]).mean(axis=1)
+        ok = (agree >= AGREE) & (root[other] != root[x]) & ~(keys[other, :number] == keys[x, :number]).any(axis=1)
+        pairs.append((np.full(int(ok.sum()), x), other[ok], agree[ok]))
+    if not pairs:
+        return []
+    a, b, agree = (np.concatenate(p) for p in zip(*pairs, strict=True))
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -269,78 +474,64 @@ def _forest(ids: np.ndarray, root: np.ndarray, blk: np.ndarray, h: np.ndarray, w
             x = parent[x]
         return x
 
-    out = []
-    for i, j in zip(a[cross].tolist(), b[cross].tolist(), strict=True):
-        x, y = find(int(root[i])), find(int(root[j]))
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), float(close[i, j])))
+    known, out = _Shingles(idf), []
+    for k in np.argsort(-agree, kind="stable").tolist():
+        x, y = int(a[k]), int(b[k])
+        p, q = find(int(root[x])), find(int(root[y]))
+        if p == q:
+            continue
+        s = _similarity(known.get(int(ids[x]), words[x].as_py()), known.get(int(ids[y]), words[y].as_py()))
+        if s >= threshold:
+            parent[max(p, q)] = min(p, q)
+            out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y])), s))
     return out
 
 
-def candidate_links(bands: DataFrame, words: DataFrame, idf: Broadcast, threshold: float = THRESHOLD, rounds: int = ROUNDS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Links (a, b, similarity) that give the same classes as all candidate pairs of bands (id, band, key) that reach threshold would."""
-    keys = ["band", "key"]
-    sizes = bands.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(bands.join(sizes, keys), "members")
-    # how many texts a text shares bands with: the text that most edits were made from stands out
-    hubs = members.groupBy("id").agg(F.sum("n").alias("hub"))
-    open_ = materialise(members.join(hubs, "id").select("id", *keys, "hub"), "members")
-    drop(members)
-    links, roots, done = None, None, None
-    for r in range(rounds + 1):
-        if roots is None:
-            placed = open_.withColumn("root", F.col("id"))
-        else:
-            placed = open_.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-            split = placed.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*keys)
-            placed = materialise(placed.join(split, keys, "left_semi"), "members")
-            if not placed.limit(1).count():
-                break
-        if r < rounds:
-            # one text of each band against those of other classes; later rounds take texts that were not taken before
-            fresh = placed if done is None else placed.join(done, [*keys, "id"], "left_anti")
-            lead = fresh.groupBy(*keys).agg(F.max(F.struct("hub", (-F.col("id")).alias("id"), "root")).alias("lead"))
-            lead = materialise(lead.select(*keys, (-F.col("lead.id")).alias("y"), F.col("lead.root").alias("y_root")), "leads")
-            taken = lead.select(*keys, F.col("y").alias("id"))
-            done = taken if done is None else done.unionByName(taken)
-            pairs = _pairs(placed.join(lead, keys).where("root <> y_root").select(F.col("id").alias("x"), "y"))
-        else:
-            counts = placed.groupBy(*keys).agg(F.count("*").alias("n_left"))
-            placed = materialise(placed.join(counts, keys), "members")
-            # in small bands, every pair with one end outside of the band's largest class
-            few = placed.where(F.col("n_left") <= small)
-            of = few.groupBy(*keys, "root").agg(F.count("*").alias("n"))
-            most = of.groupBy(*keys).agg(F.max(F.struct("n", "root")).alias("m")).select(*keys, F.col("m.root").alias("main"))
-            rest = few.join(most, keys).where("root <> main").select(*keys, F.col("id").alias("x"), F.col("root").alias("x_root"))
-            pairs = _pairs(rest.join(few.select(*keys, F.col("id").alias("y"), "root"), keys).where("root <> x_root").select("x", "y"))
-            links = links.unionByName(materialise(block_links(placed.where(F.col("n_left") > small), words, idf, threshold, block), "links"))
-        new = materialise(verify(pairs, words, idf, threshold), "links")
-        links = new if links is None else links.unionByName(new)
-        if r < rounds:
-            roots = components(links)
-    return links
+def candidate_links(nodes: DataFrame, rows: DataFrame, idf: Broadcast, threshold: float = THRESHOLD, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+    """Links (a, b, similarity) that give the same classes as all candidate pairs of nodes (id, n_words, sketch) that reach threshold would. rows: id, _text."""
+    members = band_members(nodes)
+    needed = nodes.join(members.select("id").distinct(), "id", "left_semi")
+    # words meet sketches by id, whatever their number, and stay dealt by id; of an id's texts, that with the smallest MD5
+    met = word_table(rows).join(needed.select("id", "n_words", "sketch").hint("merge"), "id")
+    met = met.groupBy("id").agg(F.min(F.struct("text_key", "words")).alias("m"), F.first("sketch").alias("sketch"), F.first("n_words").alias("n_words"))
+    words = bucketed(met.select("id", F.col("m.words").alias("words"), "sketch", "n_words"), "words", "id")
+    links = materialise(verify(star_pairs(members, chunk), words, idf, threshold), "links")
+    roots = components(links)
+    weights = words.select("id", (1 + F.floor(F.col("n_words") / 1024)).alias("weight"))
+    placed, split = split_bands(members, roots, weights, block)
+    split = materialise(split, "split")
+    if not split.limit(1).count():
+        return links
+    return links.unionByName(materialise(block_links(placed, split, words, idf, threshold), "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each of docs with an id: id, class_id (the smallest id of the texts it is linked to, directly or by others)."""
+    """One row for each of docs with an id: id, class_id (the smallest id of the texts it is linked to, directly or by others), n_copies (rows with its very
+    words), n_links (verified links of its text to other texts; those inside of a class that others tie already are not looked for), similarity (the
+    largest of them; null if there are none)."""
     spark = docs.sparkSession
     tune(spark)
-    words = materialise(word_arrays(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "words")
-    n = words.count()
-    idf = spark.sparkContext.broadcast(idf_table(document_frequencies(words), n))
-    keys = materialise(words.select("id", F.when(F.length("words") > 0, F.md5("words")).otherwise(F.concat(F.lit("-"), F.col("id").cast("string"))).alias("text_key")), "keys")
-    firsts = keys.groupBy("text_key").agg(F.min("id").alias("rep"))
-    reps = materialise(firsts.select("text_key", "rep"), "reps")
-    # a repeated id with two texts would count twice: one text of an id is compared
-    distinct = words.where(F.length("words") > 0).join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    distinct = materialise(distinct, "distinct")
-    drop(words)
-    bands = materialise(band_rows(distinct, idf), "bands")
-    links = candidate_links(bands, distinct, idf, threshold)
-    # copies and links are both links of classes; an id that has several texts joins theirs
-    twice = keys.groupBy("id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi")
-    spread = twice.select(F.col("id").alias("b"), F.explode(F.array("lo", "hi")).alias("text_key")).join(reps, "text_key").select(F.col("rep").alias("a"), "b")
-    roots = components(links.select("a", "b").unionByName(spread))
-    rep_class = reps.join(roots, reps["rep"] == roots["id"], "left").select("text_key", F.coalesce("root", "rep").alias("class_id"))
-    return keys.join(rep_class, "text_key").select(F.col("id").alias(id_col), "class_id")
+    rows = docs.select(long_id(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("_text")).where("id is not null")
+    with scratch(spark):
+        keys = materialise(text_keys(rows), "keys", keep=True)
+        idf = spark.sparkContext.broadcast(common_shingles(rows, keys))
+        own = keys.where("counts is null").select("id", F.coalesce("text_key", F.concat(F.lit("-"), F.col("id").cast("string")).cast("binary")).alias("text_key"))
+        # copies of one text are counted in parts first, so that no task gets all of them
+        parts = own.groupBy("text_key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+        parts = materialise(parts, "parts")
+        reps = materialise(parts.groupBy("text_key").agg(F.min("rep").alias("rep"), F.sum("n").alias("n_copies")), "reps")
+        made = materialise(sketches(rows, idf), "sketches")
+        first = made.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("text_key", "n_words", "sketch")).alias("m"))
+        nodes = materialise(first.select("id", "m.n_words", "m.sketch"), "nodes")
+        links = candidate_links(nodes, rows, idf, threshold)
+        # copies and links are both links of classes; an id that has several texts joins theirs
+        twice = own.groupBy("id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("id")
+        spread = own.join(twice, "id", "left_semi").distinct().join(reps, "text_key").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        roots = components(links.select("a", "b").unionByName(spread))
+        ends = links.select(F.col("a").alias("id"), "similarity").unionByName(links.select(F.col("b").alias("id"), "similarity"))
+        seen = ends.groupBy("id").agg(F.count("*").alias("n_links"), F.max("similarity").alias("similarity"))
+        known = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(seen.withColumnRenamed("id", "rep"), "rep", "left")
+        known = known.select("text_key", F.coalesce("root", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "similarity")
+        classes = materialise(parts.select("text_key", "salt").join(known, "text_key"), "classes", keep=True)
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    return salted.join(classes, ["text_key", "salt"]).select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links", "similarity")

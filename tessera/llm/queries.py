@@ -60,7 +60,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = langid.learn(docs.where(~langid.held_out()))
+    model = langid.learn(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out()))
     return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 

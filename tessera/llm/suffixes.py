@@ -8,7 +8,9 @@ the first of its group, the one in the document with the smallest id; the last w
 number of other holders of a line comes between two documents that share more. Pairs on one diagonal of two documents make one candidate,
 whose words are then compared and extended to the left and right as far as they agree.
 
-Defined results: null, empty and short texts have no passage; null ids take no part; repeated rows of an id are one document; passages
+Texts' words are dealt by id once, so that no later join moves them; only the slices that are compared move.
+
+Ids are whole numbers. Defined results: null, empty and short texts have no passage; null ids take no part; repeated rows of an id are one document; passages
 within one document don't count; a stretch that repeats itself with a period of up to 8 words is matched if it begins in the passage;
 other columns are not read; an empty table gives no rows.
 """
@@ -24,13 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, materialise, settle, small, tune
+from .common import batch_rows, blocks, bucketed, long_id, materialise, scratch, settle, tune
 from .words import binary_slices
 from .wordscan import Words, gram_hashes, inside, mix64
 
 #: Shortest passage, in words, and words in the k-grams that suffixes are chosen and first sorted by.
 MIN_WORDS, K = 50, 16
 PERIOD = 8
+#: Windows of a group that are compared with one of them.
+CHUNK = 4096
+#: Tasks over which a key that many suffixes share is dealt in a join.
+SALTS = 32
+#: Columns that remove_passages adds for a while: no table is likely to have them.
+SPANS, SPANS_OF = "__tessera_spans", "__tessera_spans_of"
 
 
 def minimisers(h: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
@@ -54,7 +62,7 @@ def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """For each text of at least min_words words: id, words (binary, uint32), and its chosen suffixes' key (hash of their
     first k words) and pos, as lists."""
     tune(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text")).where("id is not null")
+    rows = docs.select(long_id(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("_text")).where("id is not null")
     width = min_words - k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,17 +96,16 @@ def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 _LINK = "kind int, part int, key bigint, a bigint, a_pos int, b bigint, b_pos int"
 
 
-def neighbours(rows: DataFrame, partitions: int) -> DataFrame:
-    """Sorts windows (key, id, pos). kind 0: a window (a, a_pos) and its group's first (b, b_pos), of another document.
-    kind 1 and 2: the first window of each partition, and the last with the nearest before it of another document."""
+def neighbours(rows: DataFrame, partitions: int, chunk: int = CHUNK) -> DataFrame:
+    """Sorts windows (key, id, pos). kind 0: a window (a, a_pos) and the first (b, b_pos) of its run of up to chunk windows of a group, of another
+    document; the first of a run meets that of the run before. kind 1 and 2: the first window of each partition, and the first of its last run."""
     order = ["key", "id", "pos"]
     ranged = rows.select(*order).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         part = TaskContext.get().partitionId()
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3  # of the last group: its first row, the row before the last run, the last row
-        begun = False
+        begun, at_key, seen, lead = False, 0, 0, (0, 0)
 
         def rows_of(kind: int, key: np.ndarray, a: np.ndarray, ap: np.ndarray, b: np.ndarray, bp: np.ndarray) -> pa.RecordBatch:
             n = len(key)
@@ -108,29 +115,29 @@ def neighbours(rows: DataFrame, partitions: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "id", "pos")]
+            key, ids, pos = (batch.column(c).to_numpy().astype(np.int64) for c in order)
             if not begun:
-                begun = True
-                yield rows_of(1, new[0][:1], new[1][:1], new[2][:1], new[1][:1], new[2][:1])
-            c = len(held[0])
-            key, ids, pos = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
-            group = np.ones(len(key), bool)
-            group[1:] = key[1:] != key[:-1]
-            run_ = group.copy()
-            run_[1:] |= ids[1:] != ids[:-1]
+                begun, at_key = True, int(key[0])
+                yield rows_of(1, key[:1], ids[:1], pos[:1], ids[:1], pos[:1])
             index = np.arange(len(key))
-            run_at = np.maximum.accumulate(np.where(run_, index, 0))
-            group_at = np.maximum.accumulate(np.where(group, index, 0))
-            near = np.flatnonzero((run_at > group_at) & (index >= c))
-            top = group_at[near]
-            yield rows_of(0, key[near], ids[near], pos[near], ids[top], pos[top])
-            last = len(key) - 1
-            keep = sorted({int(group_at[last]), int(run_at[last]) - 1 if run_at[last] > group_at[last] else last, last})
-            held = [x[keep] for x in (key, ids, pos)]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            new[0] = int(key[0]) != at_key
+            start = np.maximum.accumulate(np.where(new, index, -1))
+            place = np.where(start < 0, index + seen, index - start)  # in the group
+            first = np.maximum.accumulate(np.where(place % chunk == 0, index, -1))
+            lead_id, lead_pos = np.where(first < 0, lead[0], ids[first]), np.where(first < 0, lead[1], pos[first])
+            # the first of a run meets that of the run before it
+            again = np.flatnonzero((first == index) & (place > 0))
+            before = again - 1
+            b, bp = lead_id.copy(), lead_pos.copy()
+            b[again], bp[again] = np.where(before < 0, lead[0], lead_id[before]), np.where(before < 0, lead[1], lead_pos[before])
+            near = np.flatnonzero(b != ids)
+            yield rows_of(0, key[near], ids[near], pos[near], b[near], bp[near])
+            at_key, seen, lead = int(key[-1]), int(place[-1]) + 1, (int(lead_id[-1]), int(lead_pos[-1]))
         if begun:
-            i = len(held[0]) - 1
-            j = i - 1 if i and held[1][i - 1] != held[1][i] else i
-            yield rows_of(2, held[0][i:], held[1][i:], held[2][i:], held[1][j : j + 1], held[2][j : j + 1])
+            b, bp = np.array([lead[0]]), np.array([lead[1]])
+            yield rows_of(2, np.array([at_key]), b, bp, b, bp)
 
     return ranged.mapInArrow(run, _LINK)
 
@@ -141,8 +148,7 @@ def _across(links: DataFrame) -> DataFrame:
         *(F.max(F.when(F.col("kind") == kind, F.struct("key", "a", "a_pos", "b", "b_pos"))).alias(name) for kind, name in ((1, "head"), (2, "tail")))
     )
     met = edges.select("head", F.lag("tail").over(Window.orderBy("part")).alias("tail")).where("head.key = tail.key")
-    met = met.select("head.a", "head.a_pos", F.explode(F.array(F.struct(F.col("tail.a").alias("b"), F.col("tail.a_pos").alias("b_pos")), F.struct("tail.b", "tail.b_pos"))).alias("o"))
-    return met.select("a", "a_pos", "o.b", "o.b_pos").where("a <> b")
+    return met.select("head.a", "head.a_pos", F.col("tail.a").alias("b"), F.col("tail.a_pos").alias("b_pos")).where("a <> b")
 
 
 def windows(texts: DataFrame, min_words: int, k: int) -> DataFrame:
@@ -167,19 +173,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Passages of at least min_words words that stand in two documents: id, first_word, n_words, other_id (smaller), other_first_word. Every
     document that shares a passage with others is tied to one of them; pairs that follow from others are not listed."""
     spark = docs.sparkSession
-    texts = materialise(suffixes(docs, id_col, text_col, min_words, k), "suffixes")
+    with scratch(spark):
+        return materialise(_passages(docs, id_col, text_col, min_words, k), "passages", keep=True)
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, k: int) -> DataFrame:
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = bucketed(suffixes(docs, id_col, text_col, min_words, k).repartition(parts, "id"), "suffixes", "id")
     rows = texts.select("id", F.explode(F.arrays_zip("key", "pos")).alias("s")).select("s.key", "id", "s.pos")
     place = F.struct("id", "pos")
     keys = materialise(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("x"), F.max(place).alias("y")).where("n > 1 and x.id <> y.id"), "keys")
     two = keys.where("n = 2").select(F.col("y.id").alias("a"), F.col("y.pos").alias("a_pos"), F.col("x.id").alias("b"), F.col("x.pos").alias("b_pos"))
-    many = rows.join(small(keys.where("n > 2").select("key")), "key", "left_semi")
-    at = small(many.groupBy("id").agg(F.collect_set("pos").alias("at")), 250_000)
+    # a key that many suffixes share is dealt over some tasks
+    salts = F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt")
+    many = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(keys.where("n > 2").select("key", salts), ["key", "salt"], "left_semi")
+    at = many.groupBy("id").agg(F.collect_set("pos").alias("at"))
     found = materialise(windows(texts.select("id", "words").join(at, "id"), min_words, k), "windows")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")  # short rows
-    links = materialise(neighbours(found, int(spark.conf.get("spark.sql.shuffle.partitions"))), "links")
+    with batch_rows(spark, 65_536):
+        links = materialise(neighbours(found, parts), "links")
     whole = links.where("kind = 0").select("a", "a_pos", "b", "b_pos").unionByName(_across(links))
     both = two.unionByName(whole)
-    tune(spark)
     later = F.col("a") > F.col("b")
     both = both.select(
         F.greatest("a", "b").alias("a"),
@@ -214,24 +228,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return found.withColumnsRenamed({"id": id_col, "other_id": f"other_{id_col}"})
 
 
-def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = False) -> DataFrame:
     """docs without the passages listed for them (those of repeated_passages: the copy with the smallest id stays). A text's other words, and
-    what stands between them, are kept; columns are those of docs."""
-    spans = passages.groupBy(F.col(id_col).alias("_of")).agg(F.sort_array(F.collect_set(F.struct("first_word", "n_words"))).alias("_spans"))
-    joined = docs.join(small(spans, 250_000), docs[id_col] == F.col("_of"), "left").drop("_of")
+    what stands between them, are kept; columns are those of docs. A document of which no word is left goes if drop_empty."""
+    spans = passages.groupBy(F.col(id_col).alias(SPANS_OF)).agg(F.sort_array(F.collect_set(F.struct("first_word", "n_words"))).alias(SPANS))
+    joined = docs.join(spans.hint("merge"), docs[id_col] == F.col(SPANS_OF), "left").drop(SPANS_OF)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts, spans = batch.column(at), batch.column("_spans")
-            batch = batch.drop_columns(["_spans"])
+            texts, spans = batch.column(at), batch.column(SPANS)
+            batch = batch.drop_columns([SPANS])
             hit = np.flatnonzero(np.array([bool(x.as_py()) for x in spans.is_valid()]))
             if len(hit):
                 new = texts.to_pylist()
+                left = np.ones(len(new), bool)
                 for i in hit.tolist():
                     new[i] = _without(texts[i].as_py(), [(s["first_word"], s["n_words"]) for s in spans[i].as_py()])
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+                    left[i] = not drop_empty or len(Words(pa.array([new[i]]), hashed=False)) > 0
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).filter(pa.array(left))
             yield batch
 
     return joined.mapInArrow(run, docs.schema)

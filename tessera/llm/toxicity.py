@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, cache, drop, materialise, settle, tune
@@ -39,15 +39,16 @@ WINDOW = 6
 #: Characters of a term from which one edit, and two, are allowed.
 EDITS = (5, 10)
 
-#: Quotation marks, as bytes of UTF-8. Fixed values.
-QUOTES = ('"', "“", "”", "«", "»", "„", "‘")
+#: Pairs of quotation marks. Fixed values.
+QUOTES = (('"', '"'), ("“", "”"), ("«", "»"), ("„", "“"), ("„", "”"))
 #: Words of reported speech or of talk about words. Fixed values.
 CUES = (
     "said says wrote called quoted quote word words term insult slur "
     "dit mot terme cita palabra dijo insulto sagte wort zitat begriff beleidigung"
 ).split()
 
-_QUOTED = re.compile(r'"[^"]{1,80}"|“[^”]{1,80}”|«[^»]{1,80}»|„[^“”]{1,80}[“”]')
+#: A quotation: from a mark to the next one that ends it, in one paragraph.
+_QUOTED = re.compile("|".join(f"{a}(?:(?!{b}|\\n\\s*\\n).)*{b}" for a, b in QUOTES).encode(), re.S)
 
 EXACT, FUZZY = 1, 2
 
@@ -180,7 +181,6 @@ def _kinds(w: Words, lexicon: Lexicon) -> np.ndarray:
     return kinds[codes]
 
 
-_QUOTE_BYTES = [q.encode() for q in QUOTES]
 FEATURES = ("n_exact", "n_fuzzy", "n_quoted", "n_words")
 
 
@@ -196,10 +196,13 @@ def _features(block_text: pa.Array, lexicon: Lexicon) -> np.ndarray:
     cues = set(CUES)
     data = w.data.tobytes() if len(hits) else b""
     docs = np.searchsorted(w.first, hits, side="right") - 1
+    at, ends = -1, np.zeros(0, np.int64)
     for i, d in zip(hits.tolist(), docs.tolist(), strict=True):
+        if d != at:
+            at = d
+            ends = np.array([x + int(w.text_at[d]) for m in _QUOTED.finditer(data[w.text_at[d] : w.text_at[d + 1]]) for x in m.span()], np.int64)
         lo, hi = max(int(w.first[d]), i - WINDOW), min(int(w.first[d + 1]), i + WINDOW + 1)
-        before, after = data[w.start[lo] : w.start[i]], data[w.end[i] : w.end[hi - 1] + 4]
-        quoted = any(q in before for q in _QUOTE_BYTES) and any(q in after for q in _QUOTE_BYTES)
+        quoted = np.searchsorted(ends, int(w.start[i]), side="right") % 2 == 1  # between the two ends of a quotation
         quoted = quoted or any(w.word(j).decode(errors="replace") in cues for j in range(lo, hi) if j != i)
         out[d, 2 if quoted else kinds[i] - 1] += 1
     return out
@@ -213,7 +216,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
         settle("toxicity")
         counts: dict[tuple[str, bool], list[int]] = {}
         for block in blocks(batches, "_text"):
-            w = Words(pa.array([_QUOTED.sub(" ", t) for t in block.column("_text").to_pylist()], pa.string()), hashed=False)
+            w = Words(pa.array([_QUOTED.sub(b" ", t.encode()).decode() for t in block.column("_text").to_pylist()], pa.string()), hashed=False)
             data = w.data.tobytes()
             for d, toxic in enumerate(block.column("toxic").to_pylist()):
                 seen: set[tuple[str, bool]] = set()
@@ -240,7 +243,8 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """The lexicon of labelled rows (`_text`, `toxic` 0/1). Stems that another stem begins, and words that a stem begins, are left out."""
+    """The lexicon of labelled rows (`_text`, `toxic` 0/1). Stems that another stem begins are left out. Terms number at most the words of the sample
+    that stand in MIN_TOXIC of its toxic texts, which fit_rows bounds."""
     counts = materialise(term_counts(rows), "terms")
     n_toxic = rows.where("toxic = 1").count()
     base = min(max(n_toxic / max(rows.count(), 1), 1e-6), 1 - 1e-6)
@@ -260,8 +264,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
             inner = max((n for t, n in whole.items() if t.startswith(r["term"])), default=0)
             if r["n_toxic"] > 1.2 * inner + 1:
                 stems.append(r["term"])
-    words = [t for t in whole if len(t) >= 3 and not any(t.startswith(s) for s in stems)]
-    return Lexicon(sorted(words), stems)
+    return Lexicon(sorted(t for t in whole if len(t) >= 3), stems)
 
 
 @dataclass
@@ -330,14 +333,36 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ToxicityModel(lexicon, *_fit(_inputs(seen[list(FEATURES)].to_numpy()), y))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each of docs: id, score (0 to 1), predicted (1 if score >= 0.5), and the counts behind it."""
-    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"))
-    found = featurise(rows, model.lexicon, [id_col])
+def _score(model: ToxicityModel) -> Column:
     n = [F.col(x).cast("double") for x in FEATURES]
     inputs = [F.log1p(n[0]), (n[0] > 0).cast("double"), F.log1p(n[1]), F.log1p(n[2]), F.least(50 * (n[0] + n[1]) / F.greatest(n[3], F.lit(1.0)), F.lit(5.0))]
     total = F.lit(model.bias)
     for x, weight in zip(inputs, model.weights, strict=True):
         total = total + x * F.lit(weight)
-    score = 1 / (1 + F.exp(-F.least(F.greatest(total, F.lit(-40.0)), F.lit(40.0))))
-    return found.select(id_col, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *FEATURES)
+    return 1 / (1 + F.exp(-F.least(F.greatest(total, F.lit(-40.0)), F.lit(40.0))))
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each of docs: id, score (0 to 1), predicted (1 if score >= 0.5), and the counts behind it."""
+    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"))
+    score = _score(model)
+    return featurise(rows, model.lexicon, [id_col]).select(id_col, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *FEATURES)
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, whole, that score less than 0.5. Rows are judged as they pass, so nothing is joined or shuffled."""
+    tune(docs.sparkSession)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("toxicity")
+        for batch in batches:
+            at, part = 0, [batch.column(columns.index(text_col)), pa.array(np.arange(batch.num_rows))]
+            for block in blocks(iter([pa.RecordBatch.from_arrays(part, ["_text", "row"])]), "_text"):
+                clean = model.score(_features(block.column("_text"), model.lexicon)) < 0.5
+                yield batch.slice(at, block.num_rows).filter(pa.array(clean))
+                at += block.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
+
+

@@ -1,11 +1,13 @@
+import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
-import pyarrow as pa
+import pytest
 
 from tessera.llm import minhash, suffixes
 from tessera.llm.components import components
-from tessera.llm.wordscan import Words
 
 from .helpers import NASTY, docs_frame, words
 
@@ -23,15 +25,25 @@ def edited(rng, t, n):
     return " ".join(w)
 
 
+def brute_links(rows):
+    """All pairs of a similarity of 0.8 or more, from words and dictionaries alone: nothing of the operator is used."""
+    counts = {}
+    for i, t in rows:
+        w = words(t)
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)] or [tuple(w)] * bool(w)
+        counts[i] = Counter(grams)
+    df = Counter(g for c in counts.values() for g in c)
+    idf = {g: 1 + math.log10(len(rows) / max(n, 0.01 * len(rows), 1)) for g, n in df.items()}
+    out = []
+    for (i, x), (j, y) in itertools.combinations(counts.items(), 2):
+        low = sum(min(n, y[g]) * idf[g] for g, n in x.items() if g in y)
+        total = sum(n * idf[g] for c in (x, y) for g, n in c.items()) - low
+        if total and low / total >= 0.8:
+            out.append((i, j))
+    return out
+
+
 def brute_classes(rows):
-    """Classes by weighted Jaccard similarity over all pairs."""
-    w = Words(pa.array([t or "" for _, t in rows]))
-    h = w.hash.astype(np.uint32)
-    df = np.zeros(minhash.DF_SLOTS, np.int64)
-    for k in range(len(rows)):
-        df[np.unique(h[w.first[k] : w.first[k + 1]] & np.uint32(minhash.DF_SLOTS - 1))] += 1
-    idf = minhash.idf_table(df, len(rows))
-    sets = [minhash.weighted_shingles(h[w.first[k] : w.first[k + 1]], np.array([0, w.first[k + 1] - w.first[k]]), idf)[:2] if w.first[k + 1] > w.first[k] else None for k in range(len(rows))]
     root = {i: i for i, _ in rows}
 
     def find(x):
@@ -39,11 +51,9 @@ def brute_classes(rows):
             x = root[x]
         return x
 
-    for a in range(len(rows)):
-        for b in range(a):
-            if sets[a] is not None and sets[b] is not None and minhash._similarity(sets[a], sets[b]) >= minhash.THRESHOLD:
-                x, y = find(rows[a][0]), find(rows[b][0])
-                root[max(x, y)] = min(x, y)
+    for i, j in brute_links(rows):
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
     return {i: find(i) for i, _ in rows}
 
 
@@ -52,8 +62,8 @@ def test_classes_against_brute_force_with_a_large_group(spark, monkeypatch):
     base = text(rng, 150)
     rows = [(i, edited(rng, base, rng.randint(0, 6))) for i in range(150)] + [(i, base) for i in range(200, 215)]
     rows += [(1000 + i, text(rng, 60)) for i in range(30)] + [(2000, None), (2001, ""), (2002, "a b"), (2003, "A, b!"), (2004, "!!")]
-    # small limits, so that the group goes through blocks
-    monkeypatch.setattr(minhash.candidate_links, "__defaults__", (minhash.THRESHOLD, 1, 4, 20))
+    # small limits, so that the group goes through runs and blocks
+    monkeypatch.setattr(minhash.candidate_links, "__defaults__", (minhash.THRESHOLD, 20, 16))
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs_frame(spark, rows)).collect()}
     assert got == brute_classes(rows)
 
@@ -66,6 +76,38 @@ def test_odd_rows_of_near_duplicates(spark):
     assert minhash.near_duplicates(docs_frame(spark, [])).count() == 0
 
 
+def test_recall_of_links_on_random_edits(spark):
+    """Of the pairs that reach 0.8, at least 0.9 are in one class: edits of many kinds, with a line that all texts share."""
+    rng = random.Random(21)
+    line = text(rng, 12)
+    rows = []
+    for g in range(120):
+        base = text(rng, rng.randint(30, 200))
+        rows += [(1000 * g + k, f"{edited(rng, base, k)} {line}") for k in range(4)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs_frame(spark, rows)).collect()}
+    links = brute_links(rows)
+    assert len(links) > 150 and sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links)
+    want = brute_classes(rows)
+    assert all(want[i] == want[c] for i, c in got.items())  # and none is wrong
+
+
+def test_links_copies_and_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (2, base), (2, base), (3, base + " more"), (4, "other words stand here alone"), (5, "x"), (5, base)]
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs_frame(spark, rows)).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
+    assert got[1]["n_copies"] == 4 and got[3]["n_links"] >= 1 and 0.8 <= got[3]["similarity"] < 1 and got[4]["similarity"] is None
+    with pytest.raises(TypeError):
+        minhash.near_duplicates(docs_frame(spark, rows).selectExpr("cast(doc_id as string) as doc_id", "text"))
+
+
+def test_runs_of_a_band_tie_all_members(spark):
+    rows = [(7, i, 5) for i in range(100)] + [(8, i, 2) for i in (3, 200)] + [(9, 1, 1)]
+    pairs = minhash.star_pairs(spark.createDataFrame(rows, "key bigint, id bigint, n bigint"), chunk=8)
+    root = {r["id"]: r["root"] for r in components(pairs).collect()}
+    assert root == {**{i: 0 for i in range(100)}, 200: 0}
+
+
 def test_sketch_entries_agree_as_often_as_weighted_jaccard_says():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 400).astype(np.uint64)

@@ -60,6 +60,42 @@ def test_stages(spark, folder):
         assert zlib.crc32(part.tobytes()) == r.ids_crc32
 
 
+EXTRA = COLUMNS + ", _bad bigint, _cut string, _gone int, _twice int, _of int, _spans array<int>, _words string, key string, id bigint, class_id bigint"
+
+
+def test_two_runs_live_and_odd_rows(spark, folder, tmp_path):
+    """A run's rows outlive another run; extra columns of any name, empty tables and long texts pass."""
+    d, texts, passage = folder
+    one = P.run(spark, d)
+    long = " ".join(f"z{i}" for i in range(150_000))
+    rows = [(1, long), (2, long + " end"), (3, None), (4, ""), (5, "plain words of no use"), (5, "another text of that id"), (None, "no id here"), (None, None)]
+    full = [(i, t, "en", "s", None, 1, "c", 2, 3, 4, [5], "w", "k", 6, 7) for i, t in rows]
+    spark.createDataFrame(full, EXTRA).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], EXTRA).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table = spark.read.parquet(f"{d}/{name}.parquet")
+        table.write.parquet(f"{tmp_path}/a/{name}.parquet")
+        table.limit(0).write.parquet(f"{tmp_path}/b/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, f"{tmp_path}/a"), name)
+        assert docs.columns == spark.read.parquet(f"{tmp_path}/a/documents.parquet").columns, name
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.collect())
+    assert left == sorted([(0, ""), (0, "no id here"), (1, long), (3, ""), (4, ""), (5, "another text of that id")])
+    assert P.run(spark, f"{tmp_path}/b").count() == 0
+    assert one.agg({"length": "sum"}).first()[0] > 0 and one.count() == P.run(spark, d).count()
+
+
+def test_rows_without_an_id_are_judged(spark, folder, tmp_path):
+    d, texts, _ = folder
+    rows = [(i, t) for i, t in texts.items() if i is not None] + [(None, texts[200]), (None, texts[312]), (None, "words of no harm")]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k in (0, 3):
+        docs = materialise(P.STAGES[k][1](spark, docs, d), "docs")
+    assert [r["text"] for r in docs.where("doc_id is null").collect()] == ["words of no harm"]
+
+
 def test_queries_are_registered():
     assert [name for name, _ in P.STAGES] == ["toxicity", "near_duplicates", "suffix_array_dedup", "benchmark_decontamination", "packing"]
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
