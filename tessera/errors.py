@@ -31,3 +31,11 @@ class InvalidVector(EngineError):
 
 class PayloadTooLarge(EngineError):
     pass
+
+
+class CorruptedFile(EngineError):
+    """A stored version is missing or can't be read."""
+
+
+class InvalidInput(EngineError):
+    pass

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,11 +56,29 @@ def dpp_select(vectors: np.ndarray, scores: np.ndarray, k: int, weight: float =
     return chosen
 
 
-def nmf(v: np.ndarray, k: int, iterations: int = 200, tol: float = 1e-4, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """|V| = W H with non-negative factors, by multiplicative updates; the error is looked at every 10 rounds."""
+#: Start values of factorisations: a 64-bit linear congruential generator. Fixed values.
+LCG_SEED, LCG_FACTOR, LCG_STEP = 42, 6364136223846793005, 1
+
+
+def lcg(n: int) -> np.ndarray:
+    """The generator's first n numbers, by their upper 31 bits, as parts of 2^32 - 1."""
+    out, x = np.empty(n), LCG_SEED
+    for i in range(n):
+        x = (x * LCG_FACTOR + LCG_STEP) & 0xFFFFFFFFFFFFFFFF
+        out[i] = (x >> 33) / 0xFFFFFFFF
+    return out
+
+
+def nmf(v: np.ndarray, k: int, iterations: int = 200, tol: float = 1e-4, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """|V| = W H with non-negative factors, by multiplicative updates; the error is looked at every 10 rounds. Start values lie around the root of V's mean
+    over k."""
     v = np.abs(np.asarray(v, float))
-    rng = np.random.default_rng(seed)
-    w, h = rng.random((v.shape[0], k)) + 1e-3, rng.random((k, v.shape[1])) + 1e-3
+    if start is None:
+        m, d = v.shape
+        mean = max(math.sqrt(v.mean() / k), 0.01)
+        both = np.abs(mean + mean * 0.5 * (lcg((m + d) * k) - 0.5)) + 1e-10
+        start = both[: m * k].reshape(m, k), both[m * k :].reshape(k, d)
+    w, h = (x.copy() for x in start)
     before = np.inf
     for n in range(1, iterations + 1):
         h *= (w.T @ v) / np.maximum(w.T @ w @ h, 1e-10)
@@ -74,19 +93,18 @@ def nmf(v: np.ndarray, k: int, iterations: int = 200, tol: float = 1e-4, seed: i
 
 @dataclass
 class QueryTopics:
-    topics: np.ndarray  # softmax of the topics' weights
+    topics: np.ndarray  # softmax of |q| on the topics
     depth: float  # 1 - entropy / ln k
-    coverage: float  # part of topics above half of an equal share
-    novelty: float  # what the topics don't explain
+    coverage: int  # topics above half of an equal share
+    novelty: float  # the part of |q| that the topics, weighted like this, don't make up; at most 1
 
 
 def analyse_query(query: np.ndarray, h: np.ndarray) -> QueryTopics:
     q = np.abs(np.asarray(query, float))
     k = len(h)
-    weights = h @ q / np.maximum(np.linalg.norm(h, axis=1), 1e-10)
+    weights = h @ q
     p = np.exp(weights - weights.max())
     p /= p.sum()
-    entropy = float(-(p * np.log(np.maximum(p, 1e-12))).sum())
-    a, *_ = np.linalg.lstsq(h.T, q, rcond=None)
-    left = q - np.maximum(a, 0) @ h
-    return QueryTopics(p, 1 - entropy / np.log(k) if k > 1 else 1.0, float((p > 0.5 / k).mean()), float(min(1.0, np.linalg.norm(left) / max(np.linalg.norm(q), 1e-10))))
+    entropy = -float((p[p > 1e-10] * np.log(p[p > 1e-10])).sum())
+    left = np.linalg.norm(q - p @ h) / max(np.linalg.norm(q), 1e-10)
+    return QueryTopics(p, 1 - entropy / (math.log(k) if k > 1 else 1.0), int((p > 0.5 / k).sum()), float(min(1.0, left)))

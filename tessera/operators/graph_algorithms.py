@@ -47,9 +47,11 @@ def all_paths(edges: DataFrame, source: int, target: int, max_depth: int, label:
     steps = _steps(edges, label)
     level = _start(edges, source).select(F.col("_start").alias("last"), F.array("_start").alias("path"))
     found = None
-    for _ in range(max_depth):
+    for n in range(1, max_depth + 1):
         level = level.where(F.col("last") != target).join(steps, F.col("last") == F.col("_from")).where(~F.array_contains("path", F.col("_to")))
         level = level.select(F.col("_to").alias("last"), F.concat("path", F.array("_to")).alias("path"))
+        if 2 <= n < max_depth:
+            level = cut(level)  # else each longer level would walk the shorter ones again
         done = level.where(F.col("last") == target).select("path")
         found = done if found is None else found.unionByName(done)
     if found is None:
@@ -139,6 +141,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sample: int | None = None, l
     e = _steps(edges, label)
     if (m := e.count()) > ADJACENCY_EDGES:
         raise QueryError(f"{m} edges; betweenness takes {ADJACENCY_EDGES}")
+    if (m := nodes.count()) > ADJACENCY_EDGES:
+        raise QueryError(f"{m} nodes; betweenness takes {ADJACENCY_EDGES}")
     pairs = e.toPandas()
     ids = np.sort(nodes.select("id").toPandas()["id"].to_numpy())
     n = len(ids)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import DimensionMismatch, InvalidVector
 from ..functions.cognitive import dpp_select, fista
 from ..functions.text import bm25, keyword_recall
+from ..plans.storage import cut
 from .activation import Fatigue, spread
 from .vector_search import exact_topk, routed_topk
 
@@ -182,10 +183,12 @@ class Retriever:
             return empty
         hits = ctx.timed("hook_custom_recall", lambda: hook.on_custom_recall(vector, config, ctx))
         if hits is None:
-            hits = self._recall(vector, text, config) or empty
+            hits = self._recall(vector, text, config)
+            hits = empty if hits is None else cut(hits)  # seeds, expansion and counts read what was found, not the recall again
         hits = ctx.timed("hook_post_recall", lambda: hook.on_post_recall(hits, ctx))
         allowed = self.nodes if config.where is None else self.nodes.where(config.where)
         seeds = hits.where(F.col("score") >= config.min_score).join(allowed.select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(max(config.top_k, 15))
+        seeds = cut(seeds)
         seeds = ctx.timed("hook_pre_graph_expand", lambda: hook.on_pre_graph_expand(seeds, ctx))
         found = ctx.timed("graph_expand", lambda: self._expand(seeds, config))
         reranked = ctx.timed("hook_rerank", lambda: hook.on_rerank(found, ctx))

@@ -22,8 +22,9 @@ from ..functions.vectors import cosine
 from ..sources.graph import Graph
 from .ast import Bool, Compare, Edge, Item, Literal, Matches, Node, Path, Prop, Query, Search
 from .parser import parse_query
+from .storage import cut
 
-#: Longest variable-length segment; each hop is a join.
+#: Longest variable-length segment: paths, unlike reached nodes, multiply with each hop.
 MAX_HOPS = 12
 EPSILON = 2.220446049250313e-16
 ROW_CAP = 5000  # of compat
@@ -61,6 +62,7 @@ class Planner:
         for key, _ in q.order:
             if isinstance(key, Prop):
                 self._use(key)
+        self.parsed: dict[str, Column] = {}  # schemaless payloads that a predicate has at hand
 
     # analysis
     def _var(self, name: str | None) -> str:
@@ -93,14 +95,35 @@ class Planner:
         var = self._var(p.var)
         if p.key == "id":
             return fields.typed(F.col(f"{var}__id"), T.LongType())
-        return self.graph.field(p.key, f"{var}__")
+        return self._payload_field(var, p.key)
+
+    def _payload_field(self, var: str, key: str) -> Field:
+        return fields.variant(self.parsed[var], key) if var in self.parsed else self.graph.field(key, f"{var}__")
+
+    def where(self, p: object) -> Column:
+        """A predicate that looks each schemaless payload up once, not once for each field and test in it."""
+        used = [v for v in self.vars if self.keys[v]] if self.graph.schemaless else []
+
+        def nest(rest: list[str]) -> Column:
+            if not rest:
+                return self.predicate(p)
+
+            def inside(payload: Column) -> Column:
+                self.parsed[rest[0]] = payload
+                return nest(rest[1:])
+
+            return F.exists(F.array(F.col(f"{rest[0]}__payload")), inside)
+
+        try:
+            return nest(used)
+        finally:
+            self.parsed.clear()
 
     def nodes(self, node: Node, in_pattern: bool = True) -> DataFrame:
         """The node's relation, filtered, with the columns that the query needs, each begun with the variable."""
         df = self.graph.nodes
         if node.filter is not None:
-            own = lambda key: fields.typed(F.col("id"), T.LongType()) if key == "id" and in_pattern else self.graph.field(key)
-            df = df.where(node.filter.compile(own))
+            df = df.where(self.graph.test(node.filter, "id" if in_pattern else None))
         cols = [F.col("id").alias(f"{node.var}__id"), *(F.col(c).alias(f"{node.var}__{c}") for c in self.graph.columns_for(self.keys[node.var]))]
         if node.var in self.whole:
             cols.append(self.graph.payload_json().alias(f"{node.var}__json"))
@@ -169,7 +192,7 @@ class Planner:
             case Bool("not", (part,)):
                 return ~self.predicate(part)
             case Matches(var, found):
-                return found.compile(lambda key: self.graph.field(key, f"{self._var(var)}__"))
+                return found.compile(lambda key: self._payload_field(self._var(var), key))
             case Compare(left, op, right):
                 return compare(self.field(left), op, literal(right.value) if isinstance(right, Literal) else self.field(right))
         raise QueryError(f"unknown predicate {p}")
@@ -186,7 +209,7 @@ class Planner:
         else:
             df = self.nodes(Node(self.vars[0], q.entry), in_pattern=False)
         if q.where is not None:
-            df = df.where(self.predicate(q.where))
+            df = df.where(self.where(q.where))
         if self.compat:
             df = df.limit(ROW_CAP if q.limit is None else q.limit)
         items = q.items or ()
@@ -341,18 +364,22 @@ def simple_paths(starts: DataFrame, steps: DataFrame, lo: int, hi: int) -> DataF
     for n in range(1, hi + 1):
         level = level.join(steps, level["last"] == steps["_from"]).where(~F.array_contains("path", F.col("_to")))
         level = level.select("start", F.col("_to").alias("last"), F.concat("path", F.array("_to")).alias("path"))
+        if n >= 2 and n < hi:
+            level = cut(level)  # else each longer level would walk the shorter ones again
         if n >= lo:
             found = level if found is None else found.unionByName(level)
     return found
 
 
 def hops(starts: DataFrame, steps: DataFrame, most: int) -> DataFrame:
-    """id, distance of all nodes within `most` steps of any of starts (id), each with its smallest distance."""
-    if most > MAX_HOPS:
-        raise QueryError(f"more than {MAX_HOPS} hops")
-    seen = starts.select("id").distinct().select("id", F.lit(0).alias("distance"))
-    front = seen
+    """id, distance of all nodes within `most` steps of any of starts (id), each with its smallest distance. Each level is written, so that the plan of
+    a level is one join and one anti join whatever came before; no new node ends the search."""
+    front = cut(starts.select("id").distinct().select("id", F.lit(0).alias("distance")))
+    seen = front
     for n in range(1, most + 1):
-        front = front.join(steps, front["id"] == steps["_from"]).select(F.col("_to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").select("id", F.lit(n).alias("distance"))
+        met = front.join(steps, front["id"] == steps["_from"]).select(F.col("_to").alias("id")).distinct()
+        front = cut(met.join(seen.select("id"), "id", "left_anti").select("id", F.lit(n).alias("distance")))
+        if not front.limit(1).count():
+            break
         seen = seen.unionByName(front)
     return seen

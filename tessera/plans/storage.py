@@ -10,11 +10,14 @@ from pyspark.sql.window import Window
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that spark.checkpoint.dir names; a folder of its own only where that is unset. Lost executors lose nothing."""
+    """df from a checkpoint in the folder that spark.checkpoint.dir names; a folder of its own only where that is unset in local mode. Lost executors lose nothing."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint()
 
 

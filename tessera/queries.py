@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
-from .functions.cognitive import analyse_query, nmf
+from .functions.cognitive import analyse_query
 from .functions.filters import Filter
 from .functions.text import bm25, keyword_recall
-from .operators import ann, graph_algorithms as G, vector_search as VS
+from .operators import ann, factors as FA, graph_algorithms as G, vector_search as VS
 from .operators.activation import Fatigue, spread
 from .operators.hybrid import Retriever, SearchConfig, diversify, shadow_channel
 from .plans import planner
@@ -230,10 +230,10 @@ def min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("batch_topk", f"""SELECT query_id, rank, id, score FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_COS_SQL}, 6) AS score,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS_SQL}, 12) DESC, e.vec_id)::INTEGER AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 100) WHERE rank <= 10""")
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS_SQL}, 12) DESC, e.vec_id)::INTEGER AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 10""")
 def batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = D.embeddings(spark, sf_dir)
-    return VS.batch_topk(v, v.where("id < 100"), 10).withColumn("score", F.round("score", 6))
+    return VS.batch_topk(v, v.where("id % 100 = 0"), 10).withColumn("score", F.round("score", 6))
 
 
 _SIG = "list_transform({v}, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)"
@@ -385,10 +385,8 @@ def fista_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("nmf_topics")
 def nmf_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.embeddings(spark, sf_dir).orderBy("id").limit(200).collect()  # a sample: factorisation works on a small matrix
-    _, h = nmf([r["vector"] for r in rows], 4)
-    t = analyse_query(rows[0]["vector"], h)
-    return spark.createDataFrame([(k, float(p), float(t.depth), float(t.coverage), float(t.novelty)) for k, p in enumerate(t.topics)], "topic int, weight double, depth double, coverage double, novelty double")
+    t = analyse_query(_first(spark, sf_dir), FA.nmf_rows(D.embeddings(spark, sf_dir), 4))
+    return spark.createDataFrame([(k, float(p), float(t.depth), int(t.coverage), float(t.novelty)) for k, p in enumerate(t.topics)], "topic int, weight double, depth double, coverage bigint, novelty double")
 
 
 # graph algorithms --------------------------------------------------------------------------------------------------------------------

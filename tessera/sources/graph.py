@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import fields
 from ..functions.fields import Field
+from ..functions.filters import Filter
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,14 @@ class Graph:
             return fields.missing()
         return fields.typed(F.col(f"{prefix}{key}"), self.types[key])
 
+    def test(self, found: Filter, id_col: str | None = None) -> Column:
+        """A filter on nodes; id_col: the column that the field `id` means. A schemaless payload is built and parsed once for all of the filter's tests: the
+        tests are inside of a lambda, where the optimiser can't write the parsing out again for each."""
+        own = lambda of: lambda key: fields.typed(F.col(id_col), T.LongType()) if key == "id" and id_col else of(key)
+        if self.schemaless:
+            return F.exists(F.array("payload"), lambda p: found.compile(own(lambda key: fields.variant(p, key))))
+        return found.compile(own(self.field))
+
     def payload_json(self) -> Column:
         if self.schemaless:
             return F.to_json("payload")
@@ -70,7 +79,7 @@ class Graph:
         return self.edges.where(F.col("dst") == node_id).select("src")
 
     def by_field(self, key: str, value: object) -> DataFrame:
-        return self.nodes.where(self.field(key).equals(value))
+        return self.nodes.where(self.test(Filter.eq(key, value)))
 
     def in_degree(self) -> DataFrame:
         return self.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))

@@ -14,12 +14,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..errors import DimensionMismatch, InvalidVector, NodeExists, NodeNotFound, PayloadTooLarge, QueryError
+from ..errors import CorruptedFile, DimensionMismatch, InvalidVector, NodeExists, NodeNotFound, PayloadTooLarge, QueryError
 from ..plans import planner
 from ..plans.ast import Path, Query
 from ..plans.parser import parse
+from ..plans.storage import ranked
 from .graph import Graph
 
 LOG = "seq bigint, tx bigint, op string, id bigint, dst bigint, label string, weight double, payload string, vector array<float>"
@@ -70,7 +70,7 @@ class GraphStore:
         n = rows.count()
         if n:
             self._flush()
-            numbered = rows.withColumn("tx", F.lit(self.tx).cast("bigint")).withColumn("seq", F.row_number().over(Window.orderBy("id")).cast("bigint") + (self.seq - 1))
+            numbered = ranked(rows.withColumn("tx", F.lit(self.tx).cast("bigint")), F.col("id"), name="seq").withColumn("seq", F.col("seq").cast("bigint") + self.seq)
             self.logs.append(planner_cut(numbered.select(*self.log.columns)))
             self.seq += n
             self._changed()
@@ -249,13 +249,19 @@ class GraphStore:
         nodes.write.parquet(f"{version}/nodes")
         edges.write.partitionBy("label").parquet(f"{version}/edges")
         meta = self.spark.createDataFrame([(self.dim, self.next_id, self.seq, version)], "dim int, next_id bigint, seq bigint, version string")
-        meta.coalesce(1).write.mode("overwrite").json(f"{path}/current")
+        # pointers are numbered and never replaced: until the new one is whole, the one before it holds
+        number = max(_pointers(self.spark, path, whole=False), default=0) + 1
+        meta.coalesce(1).write.json(f"{path}/current-{number:012d}")
         self.__init__(self.spark, self.dim, *_read(self.spark, version), self.next_id, self.seq)
         return version
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> GraphStore:
-        meta = spark.read.schema("dim int, next_id bigint, seq bigint, version string").json(f"{path}/current").first()
+        """The newest version whose pointer was written to its end."""
+        number = max(_pointers(spark, path), default=None)
+        if number is None:
+            raise CorruptedFile(f"{path} holds no store")
+        meta = spark.read.schema("dim int, next_id bigint, seq bigint, version string").json(f"{path}/current-{number:012d}").first()
         return GraphStore(spark, meta["dim"], *_read(spark, meta["version"]), meta["next_id"], meta["seq"])
 
     def migrate(self, dim: int) -> GraphStore:
@@ -264,6 +270,15 @@ class GraphStore:
         return GraphStore(self.spark, dim, nodes.withColumn("vector", F.array_repeat(F.lit(0.0).cast("float"), dim)), edges, self.next_id, self.seq)
 
 
+def _pointers(spark: SparkSession, path: str, whole: bool = True) -> list[int]:
+    """The numbers of a store's pointers; whole: only those that are written to their end."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "current-*" + "/_SUCCESS" * whole)) or []
+    names = [x.getPath().getParent().getName() if whole else x.getPath().getName() for x in found]
+    return [int(n.rpartition("-")[2]) for n in names]
+
+
 def _read(spark: SparkSession, version: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema(NODES).parquet(f"{version}/nodes"), spark.read.schema(EDGES).parquet(f"{version}/edges").select("src", "dst", "label", "weight", "edge_id")
 
