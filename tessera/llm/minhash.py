@@ -315,7 +315,7 @@ def star_pairs(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
     spark = members.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hubs = members.groupBy("id").agg(F.sum("n").alias("hub"))
-    rows = materialise(members.select("key", "id").join(hubs, "id").select("key", (-F.col("hub")).alias("order"), "id"), "ordered")
+    rows = materialise(members.select("key", "id").join(hubs.hint("merge"), "id").select("key", (-F.col("hub")).alias("order"), "id"), "ordered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -490,7 +490,7 @@ def _forest(band: int, ids: np.ndarray, root: np.ndarray, rest: np.ndarray, samp
 def candidate_links(nodes: DataFrame, rows: DataFrame, idf: Broadcast, threshold: float = THRESHOLD, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """Links (a, b, similarity) that give the same classes as all candidate pairs of nodes (id, n_words, sketch) that reach threshold would. rows: id, _text."""
     members = band_members(nodes)
-    needed = nodes.join(members.select("id").distinct(), "id", "left_semi")
+    needed = nodes.join(members.select("id").distinct().hint("merge"), "id", "left_semi")
     # words meet sketches by id, whatever their number, and stay dealt by id; of an id's texts, that with the smallest MD5
     met = word_table(rows).join(needed.select("id", "n_words", "sketch").hint("merge"), "id")
     met = met.groupBy("id").agg(F.min(F.struct("text_key", "words")).alias("m"), F.first("sketch").alias("sketch"), F.first("n_words").alias("n_words"))
@@ -521,7 +521,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         parts = materialise(parts, "parts")
         reps = materialise(parts.groupBy("text_key").agg(F.min("rep").alias("rep"), F.sum("n").alias("n_copies")), "reps")
         made = materialise(sketches(rows, idf), "sketches")
-        first = made.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.struct("text_key", "n_words", "sketch")).alias("m"))
+        first = made.join(reps.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("text_key", "n_words", "sketch")).alias("m"))
         nodes = materialise(first.select("id", "m.n_words", "m.sketch"), "nodes")
         links = candidate_links(nodes, rows, idf, threshold)
         # copies and links are both links of classes; an id that has several texts joins theirs
@@ -530,8 +530,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(links.select("a", "b").unionByName(spread))
         ends = links.select(F.col("a").alias("id"), "similarity").unionByName(links.select(F.col("b").alias("id"), "similarity"))
         seen = ends.groupBy("id").agg(F.count("*").alias("n_links"), F.max("similarity").alias("similarity"))
-        known = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(seen.withColumnRenamed("id", "rep"), "rep", "left")
+        known = reps.join(roots.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").join(seen.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
         known = known.select("text_key", F.coalesce("root", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "similarity")
-        classes = materialise(parts.select("text_key", "salt").join(known, "text_key"), "classes", keep=True)
+        classes = materialise(parts.select("text_key", "salt").join(known.hint("merge"), "text_key"), "classes", keep=True)
     salted = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    return salted.join(classes, ["text_key", "salt"]).select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links", "similarity")
+    return salted.join(classes.hint("merge"), ["text_key", "salt"]).select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links", "similarity")
