@@ -175,3 +175,26 @@ def test_held_out_labels_are_not_learned(spark):
     docs = docs_frame(spark, [(i, "x") for i in range(50)])
     labels = spark.createDataFrame([(i, int(zlib.crc32(str(i).encode()) % 5 == 0)) for i in range(50)], "doc_id bigint, toxic int")
     assert pytest.approx(toxicity.learn(docs, labels).score(__import__("numpy").zeros((1, 4)))[0], abs=1e-6) == 0
+
+
+def test_quotations_are_pairs_of_marks_of_any_length():
+    from tessera.llm import toxicity as T
+
+    lexicon = T.Lexicon(["moron"], [])
+    texts = ['"hello" you moron "bye"', '"you moron"', '"' + "x " * 200 + "moron " + "y " * 200 + '"', "„du moron“ und", 'one " mark, moron', '"first\n\nmoron" second', "moron, he said"]
+    kinds = [tuple(x[:3].tolist()) for x in T._features(pa.array(texts), lexicon)]
+    assert kinds == [(1, 0, 0), (0, 0, 1), (0, 0, 1), (0, 0, 1), (1, 0, 0), (1, 0, 0), (0, 0, 1)]
+
+
+def test_misspelled_forms_of_a_stem():
+    from tessera.llm import toxicity as T
+
+    lexicon = T.Lexicon(["idiots", "idiotic"], ["idiot"])
+    assert [lexicon.match(w) for w in ("idiot", "idiotism", "id1otic", "idiats", "plain")] == [T.EXACT, T.EXACT, T.FUZZY, T.FUZZY, 0]
+
+
+def test_rows_without_an_id_are_not_held_out(spark):
+    from tessera.llm import langid
+
+    rows = spark.createDataFrame([(None,), (1,), (2,), (3,)], "doc_id bigint")
+    assert [r[0] for r in rows.select(langid.held_out()).collect()][0] is False
