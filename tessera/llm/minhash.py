@@ -45,7 +45,7 @@ COMMON = 0.01
 #: Slots by which shingles are counted to find the common ones. More only leave fewer shingles to count one by one.
 SLOTS = 1 << 18
 #: Members of a band that are compared with one of them.
-CHUNK = 4096
+CHUNK = 512
 #: Weight of a block of members; a text weighs 1 and one more for each 1,024 words.
 BLOCK = 256
 #: Tasks over which a key that many rows share is dealt in joins.
@@ -433,7 +433,7 @@ def block_links(placed: DataFrame, split: DataFrame, words: DataFrame, idf: Broa
     block j of all, and gives no more links than it has members. words: id, words, sketch, dealt by id."""
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     dealt = split.select("*", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
-    here = placed.withColumn("salt", salt).join(dealt, ["key", "salt"])
+    here = placed.withColumn("salt", salt).join(dealt.hint("merge"), ["key", "salt"])
     at = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int")
     to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     rest = here.where("root <> main").select("key", "id", "root", at(F.col("n_rest")).alias("i"), to(F.col("n_all")).alias("j"), F.lit(True).alias("rest"))

@@ -34,7 +34,7 @@ from .wordscan import Words, gram_hashes, inside, mix64
 MIN_WORDS, K = 50, 16
 PERIOD = 8
 #: Windows of a group that are compared with one of them.
-CHUNK = 4096
+CHUNK = 512
 #: Tasks over which a key that many suffixes share is dealt in a join.
 SALTS = 32
 #: Columns that remove_passages adds for a while: no table is likely to have them.
