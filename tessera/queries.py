@@ -142,7 +142,8 @@ def agg_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _match("distinct_var", "MATCH (c)-[:PLACED]->(o) RETURN DISTINCT c.id", f"SELECT DISTINCT {_C} + o_custkey AS c_id FROM orders JOIN customer ON o_custkey = c_custkey")
-_match("distinct_prop", 'MATCH (c)-[:PLACED]->(o) RETURN DISTINCT c.segment AS segment, o.priority', None)
+_match("distinct_prop", 'MATCH (c)-[:PLACED]->(o) RETURN DISTINCT c.segment AS segment, o.priority',
+       "SELECT segment, o_priority FROM (SELECT c_mktsegment AS segment, o_orderpriority AS o_priority, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey, o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey) WHERE n = 1")
 _match("distinct_props", 'MATCH (c)-[:PLACED]->(o) RETURN DISTINCT c.segment AS segment, DISTINCT o.priority AS priority',
        "SELECT DISTINCT c_mktsegment AS segment, o_orderpriority AS priority FROM customer JOIN orders ON o_custkey = c_custkey")
 _match("order_limit_offset", 'FIND {kind: "order"} RETURN o.id, o.totalprice ORDER BY o.totalprice DESC LIMIT 10 OFFSET 5',
