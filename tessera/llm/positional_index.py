@@ -120,8 +120,8 @@ def phrase_starts(lists: list[np.ndarray], gaps: int = 0) -> np.ndarray:
     return starts
 
 
-def _search_shard(rows: pa.Table, windows: list[np.ndarray], matrix: np.ndarray, gaps: int) -> pa.Table:
-    """Hits of windows in one shard: document (its place in the shard), window, first and last word."""
+def _search_shard(rows: pa.Table, windows: list[np.ndarray], matrix: np.ndarray, numbers: np.ndarray, gaps: int) -> pa.Table:
+    """Hits of windows in one shard: document (its place in the shard), the window's number, first and last word."""
     term, pos = rows.column("term").combine_chunks(), rows.column("positions").combine_chunks()
     docs_row = next(i for i, x in enumerate(term.is_null().to_pylist()) if x)
     firsts = np.frombuffer(rows.column("firsts").combine_chunks()[docs_row].as_py(), np.uint32).astype(np.int64)
@@ -151,7 +151,7 @@ def _search_shard(rows: pa.Table, windows: list[np.ndarray], matrix: np.ndarray,
             if len(starts):
                 doc = np.searchsorted(firsts, starts, side="right") - 1
                 ok = ends < firsts[doc + 1]
-                out += [(d, k, s - int(firsts[d]), e - int(firsts[d])) for d, s, e in zip(doc[ok].tolist(), starts[ok].tolist(), ends[ok].tolist(), strict=True)]
+                out += [(d, int(numbers[k]), s - int(firsts[d]), e - int(firsts[d])) for d, s, e in zip(doc[ok].tolist(), starts[ok].tolist(), ends[ok].tolist(), strict=True)]
     shard = rows.column("shard")[0].as_py()
     cols = list(zip(*out, strict=True)) or [(), (), (), ()]
     return pa.table(
@@ -162,35 +162,40 @@ def _search_shard(rows: pa.Table, windows: list[np.ndarray], matrix: np.ndarray,
 
 def _searcher(sent: Broadcast, gaps: int) -> Callable[[pa.Table], pa.Table]:
     def run(shard: pa.Table) -> pa.Table:
-        return _search_shard(shard, *sent.value, gaps)
+        lists, matrix, numbers = sent.value
+        return _search_shard(shard, lists, matrix, numbers, gaps)
 
     return run
 
 
 def search_index(index: DataFrame, windows: DataFrame, gaps: int = 0, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """Hits of the windows (from item_windows) in the index: shard, doc_at (the document's place in its shard), items, first_word, last_word.
-    The windows go to the executors in passes of at most pass_windows, each a pass over the index's rows of those terms."""
+    The windows go to the executors in passes of about pass_windows, each a pass over the index's rows of those terms; a pass's hits are written
+    before the next begins, so that one pass's windows are in memory at a time."""
     spark = index.sparkSession
-    windows = materialise(windows.withColumn("part", F.pmod(F.xxhash64("terms"), F.lit(max(1, -(-windows.count() // pass_windows))))), "windows")
-    parts = [r[0] for r in windows.select("part").distinct().collect()]
+    parts = max(1, -(-windows.count() // pass_windows))
+    numbered = windows.select("terms", "items", F.pmod(F.xxhash64("terms"), F.lit(parts)).alias("part"), F.monotonically_increasing_id().alias("win"))
+    windows = materialise(numbered, "windows")  # numbered once
     found = None
-    for part in sorted(parts):
+    for part in range(parts):
         now = windows.where(F.col("part") == part)
-        rows = now.select("terms", "items").collect()  # about pass_windows
+        rows = now.select("win", "terms").collect()  # about pass_windows
+        if not rows:
+            continue
         lists = [np.array(r["terms"], np.int64) for r in rows]
         matrix = np.zeros((len(lists), max(map(len, lists))), np.int64)
         for k, x in enumerate(lists):
             matrix[k, : len(x)] = x
-        sent = spark.sparkContext.broadcast((lists, matrix))
+        sent = spark.sparkContext.broadcast((lists, matrix, np.array([r["win"] for r in rows], np.int64)))
         terms = F.broadcast(now.select(F.explode("terms").alias("term")).distinct())
         needed = index.where("term is not null").join(terms, "term", "left_semi").select(*index.columns).unionByName(index.where("term is null"))
         hits = needed.groupBy("shard").applyInArrow(_searcher(sent, gaps), "shard bigint, doc_at bigint, win bigint, first_word bigint, last_word bigint")
-        names = spark.createDataFrame([(k, r["items"]) for k, r in enumerate(rows)], "win bigint, items array<string>")
-        one = hits.join(F.broadcast(names), "win").drop("win")
+        one = materialise(hits, "hits")
+        sent.destroy()
         found = one if found is None else found.unionByName(one)
     if found is None:
-        found = spark.createDataFrame([], "shard bigint, doc_at bigint, first_word bigint, last_word bigint, items array<string>")
-    return found
+        found = spark.createDataFrame([], "shard bigint, doc_at bigint, win bigint, first_word bigint, last_word bigint")
+    return found.join(windows.select("win", "items"), "win").drop("win")
 
 
 def index_documents(index: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ m - c and m + c, where c = sum |q_i| * half a cell, the same for all of a block.
 then exact vectors are read in order of their best possible score until no bound reaches the k-th result. What a task found in earlier
 blocks bounds later ones. Each task gives k rows a query at most, so that equal or hot vectors can't swell what is merged.
 
-Queries are taken in passes of bounded size, each against all rows. Defined results: vectors that are null, empty, or hold null or
+Queries are taken in passes of bounded size, each against all rows; a pass is written before the next begins, so that one pass's queries are
+in memory at a time. Defined results: vectors that are null, empty, or hold null or
 non-finite components take no part; a query meets the vectors of its own dimension; rows with a query's id are its own and left out, and
 of repeated query rows one asks; ties go to the smaller id; fewer than k candidates give fewer rows; other columns are not read.
 """
@@ -21,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, settle, tune
+from .common import batch_rows, materialise, scratch, settle, tune
 
 BLOCK_VECTORS = 2048
 #: Cells a dimension is cut into.
-CELLS = 64
+CELLS = 256
 #: Queries in one pass over the file.
 PASS_QUERIES = 8192
+#: Rows of the file in one Arrow batch: each is a block.
+FILE_ROWS = 8
 #: Exact vectors read at once for a query.
 STEP = 32
 
@@ -93,12 +96,12 @@ class TopK:
 def _scan(top: TopK, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, low: np.ndarray, step: np.ndarray, codes: np.ndarray, exact: np.ndarray) -> int:
     """Adds a block's vectors to top. Returns how many exact vectors were read."""
     k, read = top.k, 0
-    middle = low + codes * step.astype(float) + (step - 1) / 2
+    cells, half = codes.astype(np.float32), (step - 1) / 2
     for a in range(0, len(queries), 256):
         q = queries[a : a + 256].astype(float)
-        m = q @ middle.T
-        # half a cell on either side, and room for rounding
-        c = np.abs(q) @ ((step - 1) / 2) + 1e-9 * (np.abs(q) @ np.abs(middle).max(axis=0)) + 1
+        m = (q * step).astype(np.float32) @ cells.T + (q @ (low + half))[:, None]
+        # half a cell on either side, and room for rounding: of single precision in the sum over cells, of double in the rest
+        c = np.abs(q) @ (half + (len(step) + 4) * 2.0**-23 * CELLS * step + 1e-9 * (np.abs(low) + CELLS * step)) + 1
         m[query_ids[a : a + 256, None] == ids] = -np.inf
         kth = top.kth[a : a + 256].copy()
         if m.shape[1] >= k:
@@ -121,6 +124,7 @@ def search_file(file: DataFrame, queries: DataFrame, k: int = 10, pass_queries:
     """query_id, rank (from 1), id, score: the k largest inner products of each query (id, v) with the file's vectors."""
     spark = file.sparkSession
     asked = queries.groupBy("id").agg(F.min("v").alias("v"))
+    asked = materialise(asked, "queries")
     passes = max(1, -(-asked.count() // pass_queries))
     found = None
     for p in range(passes):
@@ -151,6 +155,9 @@ def search_file(file: DataFrame, queries: DataFrame, k: int = 10, pass_queries:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["query_id", "id", "score"])
 
         one = file.select("dim", "ids", "low", "step", "codes", "exact").mapInArrow(run, "query_id bigint, id bigint, score bigint")
+        with batch_rows(spark, FILE_ROWS):
+            one = materialise(one, "best", keep=True)
+        sent.destroy()
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = spark.createDataFrame([], "query_id bigint, id bigint, score bigint")
@@ -162,7 +169,6 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     """query_id, rank, id, score over vectors scaled to floor(factor * x); the rows where is_query holds ask."""
     tune(vectors.sparkSession)
     good = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vec_col), factor).alias("v"), is_query.alias("asks"))
-    file = materialise(build_file(good), "vafile")
-    docs = search_file(file, good.where("asks").select("id", "v"), k)
-    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # each row of the file is a block
-    return docs
+    with scratch(vectors.sparkSession):
+        file = materialise(build_file(good), "vafile")
+        return search_file(file, good.where("asks").select("id", "v"), k)
