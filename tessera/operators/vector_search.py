@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..plans.storage import cut
 from ..session import ship
 
 EXACT_BELOW, INT8_ABOVE = 20_000, 100_000
@@ -67,7 +68,7 @@ def routed_topk(vectors: DataFrame, q: list[float], k: int, min_score: float | N
 
 def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, pass_queries: int = 4096) -> DataFrame:
     """query_id, rank, id, score for many queries (id, vector): each Arrow batch is one matrix product, and a task keeps k rows a query. Queries
-    are sent in passes of bounded size."""
+    are sent in passes of bounded size; a pass's results are checkpointed before the next begins, so that one pass's queries are in memory at a time."""
     spark = vectors.sparkSession
     ship(spark)
     passes = max(1, -(-queries.count() // pass_queries))
@@ -93,7 +94,8 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, pass_queries: int
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(ids.ravel()), pa.array(scores.ravel())], ["query_id", "id", "score"])
 
         dim = len(rows[0]["vector"])
-        one = vectors.where(F.size("vector") == dim).select("id", "vector").mapInArrow(run, "query_id bigint, id bigint, score double")
+        one = cut(vectors.where(F.size("vector") == dim).select("id", "vector").mapInArrow(run, "query_id bigint, id bigint, score double"))
+        sent.destroy()
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "query_id bigint, rank int, id bigint, score double")
