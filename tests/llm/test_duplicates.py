@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import minhash, suffixes
+from tessera.llm.common import materialise
 from tessera.llm.components import components
 
 from .helpers import NASTY, docs_frame, words
@@ -101,6 +102,50 @@ def test_links_copies_and_ids(spark):
         minhash.near_duplicates(docs_frame(spark, rows).selectExpr("cast(doc_id as string) as doc_id", "text"))
 
 
+def shingle_counts(t):
+    w = words(t)
+    return Counter([tuple(w[k : k + 5]) for k in range(len(w) - 4)] or [tuple(w)] * bool(w))
+
+
+def test_rare_shingles_weigh_by_their_own_frequency(spark):
+    """All shingles here stand in less than 1 % of the texts. By counts alone (or one weight for all rare ones) the first pair would reach 0.8 and the
+    second would not."""
+    fresh = iter(f"u{i}" for i in range(100_000))
+    own = lambda n: " ".join(next(fresh) for _ in range(n))
+    one, other, line = own(100), own(100), own(26)
+    rows = [(1, one), (2, f"{one} {own(23)}"), (3, other), (4, f"{other} {line}")]
+    rows += [(10 + i, f"{own(30)} {line}") for i in range(8)] + [(100 + i, own(6)) for i in range(988)]
+    counts = {i: shingle_counts(t) for i, t in rows}
+    df = Counter(g for c in counts.values() for g in c)
+    assert max(df.values()) < 0.01 * len(rows)
+
+    def similarity(i, j, weight):
+        low, high = (sum(f(counts[i][g], counts[j][g]) * weight(g) for g in counts[i] | counts[j]) for f in (min, max))
+        return low / high
+
+    exact = lambda g: 1 + math.log10(len(rows) / df[g])
+    assert similarity(1, 2, lambda g: 1) > 0.8 > similarity(1, 2, exact) and similarity(3, 4, lambda g: 1) < 0.8 < similarity(3, 4, exact)
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs_frame(spark, rows)).collect()}
+    assert {i: r["class_id"] for i, r in got.items() if r["class_id"] != i} == {4: 3}
+    assert got[3]["similarity"] == pytest.approx(similarity(3, 4, exact), abs=1e-6) and got[1]["similarity"] is None
+
+
+def test_frequencies_of_shingles_across_bundles(spark):
+    rng = random.Random(31)
+    line = text(rng, 9)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) + f" {line}" * (i % 3)) for i in range(300)]
+    rows += [(i + 1000, t) for i, t in rows[:50]] + [(2000, None), (2001, "!"), (2002, "a b"), (2003, "a b a b a b")]
+    counts = {i: shingle_counts(t) for i, t in rows}
+    df = Counter(g for c in counts.values() for g in c)
+    table = docs_frame(spark, rows).selectExpr("doc_id as id", "text as _text").repartition(7).where("id is not null")
+    minhash.tune(spark)
+    bundles = materialise(minhash.text_bundles(table, size=100), "bundles")
+    made = minhash.sketches(bundles, materialise(minhash.document_frequencies(bundles, bits=3), "frequencies"), len(rows)).collect()
+    assert bundles.select("bundle").distinct().count() > 4 and sorted(r["id"] for r in made) == sorted(i for i, c in counts.items() if c)
+    for r in made:
+        assert sorted(np.frombuffer(r["df"], np.uint32).tolist()) == sorted(df[g] for g in counts[r["id"]]), r["id"]
+
+
 def test_runs_of_a_band_tie_all_members(spark):
     rows = [(7, i, 5) for i in range(100)] + [(8, i, 2) for i in (3, 200)] + [(9, 1, 1)]
     pairs = minhash.star_pairs(spark.createDataFrame(rows, "key bigint, id bigint, n bigint"), chunk=8)
