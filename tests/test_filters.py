@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.errors import ParseError
 from tessera.functions import fields
 from tessera.functions.filters import Filter
+from tessera.queries import QUERIES
 
 VALUES = [None, True, False, 0, 1, 5, 0.0, 5.0, -2.5, "", "a", "5", [], [1], ["a", "b"], [1.0], {"k": 1}, {"k": 1.0}]
 DOCS = [{}, *({"f": v} for v in VALUES), {"f": [None, "a", {"k": 1}]}, {"g": 1}]
@@ -75,3 +76,13 @@ def test_matching_never_fails(doc, seed):
 
 def test_builders():
     assert Filter.both(Filter.eq("a", 1), Filter.either(Filter.gt("b", 1), Filter.nin("c", [1]))) == Filter.from_json({"$and": [{"a": 1}, {"$or": [{"b": {"$gt": 1}}, {"c": {"$nin": [1]}}]}]})
+
+
+def test_document_queries_parse_once(spark, tmp_path):
+    """A document query builds and parses a payload once, whatever its filter asks."""
+    spark.sql("SELECT id AS event_id, id % 7 AS user_id, if(id % 2 = 0, 'error', 'view') AS event_type, id * 9D AS value FROM range(20)").write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("find_or", "find_and", "find_all", "find_type"):
+        df = QUERIES[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == 1, name
+    assert {r[0] for r in QUERIES["find_or"](spark, str(tmp_path)).collect()} == {i + 1 for i in range(20) if i % 2 == 0 or (i % 3 and i * 9 >= 90)}
