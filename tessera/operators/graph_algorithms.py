@@ -80,20 +80,37 @@ def shortest_path(edges: DataFrame, source: int, target: int, max_depth: int, la
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component: the smallest id of the weakly connected component. Each round takes the smallest root around and then the root's root."""
-    e = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    e = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = nodes.select("id", F.col("id").alias("root"))
+    """id, component: the smallest id of the weakly connected component. In each round every id with a smaller neighbour hooks to its smallest, chains of
+    hooks are followed by doubling, and only the edges between different roots go on, once each; two rounds leave half of the linked ids at most."""
+    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
+    ends = e.select(F.col("hi").alias("id")).unionByName(e.select(F.col("lo").alias("id"))).distinct()
+    strangers = cut(ends.join(nodes.select("id"), "id", "left_anti"))
+    if strangers.limit(1).count():  # an end that is no node links nothing
+        for end in ("hi", "lo"):
+            e = e.join(strangers.withColumnRenamed("id", end), end, "left_anti")
+    rounds = []
     while True:
-        near = e.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        seen = roots.join(near, "id", "left").select("id", "root", F.least("root", "near").alias("near"))
-        hook = seen.groupBy(F.col("root").alias("r")).agg(F.min("near").alias("hook"))
-        hooked = seen.join(hook, seen["root"] == hook["r"]).select("id", "root", F.least("near", "hook").alias("new"))
-        up = hooked.select(F.col("id").alias("new"), F.col("new").alias("upper"))
-        after = cut(hooked.join(up, "new", "left").select("id", F.col("root").alias("old"), F.least("new", F.coalesce("upper", "new")).alias("root")))
-        roots = after.select("id", "root")
-        if not after.where("old <> root").limit(1).count():
-            return roots.select("id", F.col("root").alias("component"))
+        up = cut(e.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("up")))
+        if not up.limit(1).count():
+            break
+        while True:
+            above = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
+            higher = cut(up.select("up").distinct().join(above, "up"))
+            if not higher.limit(1).count():
+                break
+            up = cut(up.join(higher, "up", "left").select("id", F.coalesce("top", "up").alias("up")))
+        rounds.append(up)
+        root = lambda end: up.select(F.col("id").alias(end), F.col("up").alias("root"))
+        e = e.join(root("hi"), "hi").select(F.col("root").alias("hi"), "lo").where("hi <> lo").distinct()
+        e = e.join(root("lo"), "lo", "left").select("hi", F.coalesce("root", "lo").alias("lo")).where("hi <> lo")
+        e = cut(e.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct())
+    if not rounds:
+        return nodes.select("id", F.col("id").alias("component"))
+    tops = rounds.pop()
+    while rounds:  # what hooked in an earlier round goes where its root went later
+        later = tops.select(F.col("id").alias("up"), F.col("up").alias("top"))
+        tops = rounds.pop().join(later, "up", "left").select("id", F.coalesce("top", "up").alias("up")).unionByName(tops)
+    return nodes.select("id").join(tops, "id", "left").select("id", F.coalesce("up", "id").alias("component"))
 
 
 def components_by_size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
